@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from orestrata.session import settle
@@ -41,11 +42,11 @@ class Curves:
 def unit_rows(column: pa.ListArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and unit vectors of the usable rows: ``dims`` finite numbers that are not all zero."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
     at = np.flatnonzero(lengths == dims)
     picked = column.take(pa.array(at))
     flat = picked.flatten()
-    x = np.asarray(pa.compute.fill_null(flat, float("nan")), dtype=np.float32).reshape(len(at), dims)
+    x = np.asarray(pc.fill_null(flat, float("nan")), dtype=np.float32).reshape(len(at), dims)
     fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
     at, x = at[fine], x[fine].astype(np.float64)
     # Scaled by the largest part first, so that no square over- or underflows.
