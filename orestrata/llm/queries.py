@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from orestrata.llm.canonical import map_series
+from orestrata.llm.mixing import mix
 from orestrata.llm.neardup import NearDuplicates
 from orestrata.llm.neighbours import most_similar
+from orestrata.llm.packing import fill_report, pack
+from orestrata.llm.sentences import split_sentences
+from orestrata.llm.splitting import split_long
+from orestrata.llm.tokens import with_sizes
 from orestrata.session import table
 
 NEAR_FIELDS = ["title", "summary", "overall_design"]
@@ -32,5 +38,93 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return most_similar(table(spark, sf_dir, "series"), "id", "embedding").withColumn("cosine", F.round("cosine", 4))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_neighbours": p3_neighbours}
-SQL: dict[str, str] = {}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of ``term_list`` meant by the freely typed values of four fields of ``series``."""
+    return map_series(table(spark, sf_dir, "series"), table(spark, sf_dir, "term_list"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each field: series with a value, distinct entries met, series with an unmatched value."""
+    found = p4_found(spark, sf_dir)
+    missed = F.col("term_id") == "unmatched"
+    return found.groupBy("field").agg(
+        F.countDistinct("id").alias("n_series"), F.countDistinct(F.when(~missed, F.col("term_id"))).alias("n_terms"), F.count_if(missed).alias("n_unmatched"))
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = split_long(table(spark, sf_dir, "series"), ["gse"], "search_text").withColumn("field", F.lit("search_text"))
+    two = split_long(table(spark, sf_dir, "record_ref"), ["gse"], "embed_text").withColumn("field", F.lit("embed_text"))
+    return one.unionByName(two)
+
+
+#: A stretch of more than 4,000 characters without white space and without a sentence mark.
+_HARD = r"(?U)[^\s.!?。！？．]{4001}"
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts above the limit, and those among them with a stretch that has no natural boundary."""
+    out = None
+    for name, column in (("series", "search_text"), ("record_ref", "embed_text")):
+        source = table(spark, sf_dir, name)
+        cut = split_long(source.where(F.length(column) > 4000), ["gse"], column)
+        per_text = cut.groupBy("gse").agg(F.max("piece_no").alias("pieces"), F.max((F.col("cut") == "character").cast("int")).alias("torn"))
+        over = per_text.where("pieces > 1").select(F.lit(column).alias("field"), "gse", F.lit("over").alias("kind"))
+        # A text with such a stretch is torn between characters somewhere in it; the pattern confirms it.
+        torn = source.select("gse", column).where(F.length(column) > 4000).join(per_text.where("torn = 1").select("gse"), "gse", "left_semi")
+        hard = torn.where(F.col(column).rlike(_HARD)).select(F.lit(column).alias("field"), "gse", F.lit("hard").alias("kind"))
+        both = over.unionByName(hard)
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of both fields with their places."""
+    return _pieces(spark, sf_dir).select("field", "gse", "piece_no", "start_pos", "end_pos", "cut", F.length("piece").alias("n_chars"))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document for every capacity."""
+    sized = with_sizes(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return pack(sized, table(spark, sf_dir, "pack_container"), "doc_id").withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return fill_report(p6_containers(spark, sf_dir).withColumnRenamed("doc_id", "id"), table(spark, sf_dir, "pack_container"))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = with_sizes(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"], "text")
+    return mix(sized, table(spark, sf_dir, "mix_target"))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix and how often each is used."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source of each mix."""
+    return _mixed(spark, sf_dir)[1]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every document."""
+    return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (
+    p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_report, p5_found, p5_pieces, p6_containers, p6_fill, p7_selection, p7_shares, p8_found)}
+#: Equivalents for DuckDB where SQL can express the result on whole tables.
+SQL: dict[str, str] = {
+    "p5_found": r"""
+WITH t AS (
+  SELECT 'search_text' AS field, gse, search_text AS x FROM series UNION ALL
+  SELECT 'embed_text' AS field, gse, embed_text AS x FROM record_ref),
+o AS (SELECT field, gse, x FROM t WHERE length(x) > 4000),
+-- Stretches between white space and sentence marks; RE2 has no repeat counts above 1,000.
+s AS (SELECT field, gse, max(length(p)) AS longest FROM (
+  SELECT field, gse, unnest(regexp_split_to_array(x, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.!?。！？．]')) AS p FROM o) GROUP BY field, gse)
+SELECT field, gse, 'over' AS kind FROM o
+UNION ALL SELECT field, gse, 'hard' AS kind FROM s WHERE longest > 4000""",
+}
