@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orestrata.plans import packed
+from orestrata.plans import packed, search
 
 
 def modules() -> list:
-    return [packed]
+    return [packed, search]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed.p1_found(spark, sf_dir)
+    return search.unified_search(spark, sf_dir)
