@@ -32,7 +32,7 @@ def sorted_distinct(values: Column) -> Column:
 
 def split_list(text: Column, pattern: str = ",") -> Column:
     """Trimmed non-empty parts in order of first occurrence."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, pattern), F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, pattern), lambda v: F.trim(v)), lambda v: v != ""))
 
 
 def list_blob(text: Column, cap: int = 20_000) -> Column:

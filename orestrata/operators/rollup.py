@@ -72,6 +72,7 @@ def shards(df: DataFrame, order: list[str], size: str, most_rows: int, most_byte
     The order is cut into blocks of equal row count; a block is one task, and a
     shard never spans two. A row above the byte bound is a shard of its own.
     """
+    columns = list(df.columns)
     placed = numbered(df, order, "__row").withColumn("__block", F.floor(F.col("__row") / block).cast("int"))
 
     def pack(key, table):
@@ -83,7 +84,7 @@ def shards(df: DataFrame, order: list[str], size: str, most_rows: int, most_byte
                 shard, rows, total = shard + 1, 0, 0
             rows, total = rows + 1, total + n
             out.append(f"{key[0].as_py():05d}-{shard:05d}")
-        return table.select(df.columns).append_column("shard", pa.array(out, pa.string()))
+        return table.select(columns).append_column("shard", pa.array(out, pa.string()))
 
     schema = T.StructType([*df.schema.fields, T.StructField("shard", T.StringType())])
     return placed.groupBy("__block").applyInArrow(pack, schema)

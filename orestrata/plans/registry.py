@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orestrata.plans import packed, search
+from orestrata.plans import normalization, packed, relational, search
 
 
 def modules() -> list:
-    return [packed, search]
+    return [packed, search, relational, normalization]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
