@@ -20,7 +20,7 @@ class PageTooLarge(Exception):
 
 
 class FolderTransport:
-    """Records of ``catalog.json`` in a folder whose title holds the term; pages above ``most`` records are too large."""
+    """Records of ``catalog.json`` in a folder whose title holds the term; pages above ``most`` records, or with one marked oversized, are too large."""
 
     def __init__(self, options: dict[str, str]) -> None:
         with open(os.path.join(options["folder"], "catalog.json"), encoding="utf-8") as f:
@@ -35,7 +35,7 @@ class FolderTransport:
 
     def page(self, term: str, start: int, size: int) -> list[dict]:
         part = self._found(term)[start:start + size]
-        if len(part) > self.most or (len(part) == 1 and part[0].get("oversized")):
+        if len(part) > self.most or any(r.get("oversized") for r in part):
             raise PageTooLarge
         return part
 

@@ -16,7 +16,7 @@ _TABLES = "sample|platform|series_matrix"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text, error): whole files, strict UTF-8; gzip is opened by suffix."""
+    """(file, text, error): whole files, strict UTF-8; gzip is opened by suffix. Spark lists no file of length 0."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches):
