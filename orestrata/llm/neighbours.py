@@ -108,17 +108,18 @@ def fit_projection(sample: np.ndarray, curves: Curves) -> Projection:
     dims = sample.shape[1]
     centred = sample - sample.mean(axis=0)
     _, vectors = np.linalg.eigh(centred.T.astype(np.float64) @ centred)
-    kept = min(dims, max(curves.axes, curves.directions))
+    axes = min(curves.axes, dims)
+    kept = min(dims, max(axes, curves.directions))
     lead = vectors[:, ::-1][:, :kept]
     directions, low, high, shift = [], [], [], []
     for _ in range(curves.orderings):
         q, _ = np.linalg.qr(rng.standard_normal((kept, kept)))
-        d = (lead @ q[:, :curves.axes]).astype(np.float32)
+        d = (lead @ q[:, :axes]).astype(np.float32)
         y = sample @ d
         directions.append(d)
         low.append(y.min(axis=0))
         high.append(y.max(axis=0) + 1e-9)
-        shift.append(rng.random(curves.axes))
+        shift.append(rng.random(axes))
     return Projection(np.stack(directions), np.stack(low), np.stack(high), np.stack(shift).astype(np.float32))
 
 
@@ -150,7 +151,7 @@ def _keyed(projection, dims: int, bits: int):
 
 def window_lists(x: np.ndarray, ids: np.ndarray, k: int, window: int, step: int = 512):
     """For curve-sorted unit vectors: (positions, neighbour ids, cosines) of each step, best first within the window."""
-    n = len(x)
+    n, step = len(x), min(step, max(1, window // 2))
     for a in range(0, n, step):
         b = min(n, a + step)
         lo = max(0, min((a + b - window) // 2, n - window))
