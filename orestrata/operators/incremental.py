@@ -41,9 +41,8 @@ def upsert(current: DataFrame, batch: DataFrame, key: str) -> DataFrame:
 def coverage(documents: DataFrame, vectors: dict[str, DataFrame], key: str) -> DataFrame:
     """(model, n_docs, n_vectors) of every model."""
     out = None
-    n_docs = documents.agg(F.count("*").alias("n_docs"))
     for name, v in vectors.items():
-        n = documents.join(v.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("n_vectors"))
-        one = n_docs.join(F.broadcast(n)).select(F.lit(name).alias("model"), "n_docs", "n_vectors")
+        held = v.select(key).distinct().withColumn("__held", F.lit(1))
+        one = documents.select(key).join(held, key, "left").agg(F.count("*").alias("n_docs"), F.count("__held").alias("n_vectors")).select(F.lit(name).alias("model"), "n_docs", "n_vectors")
         out = one if out is None else out.unionByName(one)
     return out
