@@ -95,7 +95,7 @@ def mix(records: DataFrame, targets: DataFrame, id_column: str = "doc_id", total
     spark = records.sparkSession
     base = settle(records.select(
         F.col(id_column).alias("id"), "source", primary_language(F.col("lang")).alias("lang"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
-        .where("tokens > 0 and source is not null"), "sized").withColumn("row", F.monotonically_increasing_id())
+        .where("tokens > 0 and source is not null").withColumn("row", F.monotonically_increasing_id()), "sized")
     wanted = targets.where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(
         F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     held = base.groupBy("source", "lang").agg(F.sum("tokens").alias("held"))

@@ -115,8 +115,8 @@ def pack(items: DataFrame, containers: DataFrame, id_column: str, size_column: s
     Repeated and null ids are items of their own. Containers without a positive
     capacity are left out.
     """
-    base = settle(items.select(F.col(id_column).alias("id"), F.greatest(F.coalesce(F.col(size_column), F.lit(0)), F.lit(0)).cast("long").alias("size")), "items")
-    base = base.withColumn("turn", F.xxhash64(F.monotonically_increasing_id()))
+    base = settle(items.select(F.col(id_column).alias("id"), F.greatest(F.coalesce(F.col(size_column), F.lit(0)), F.lit(0)).cast("long").alias("size"))
+                  .withColumn("turn", F.xxhash64(F.monotonically_increasing_id())), "items")
     total = base.agg(F.sum("size")).first()[0] or 0
     kinds = containers.where("capacity_tokens > 0").select("container_id", F.col("capacity_tokens").cast("long").alias("capacity"))
     # The list of capacities is a few rows by contract, so it travels as a literal array instead of a join.
