@@ -22,6 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from orestrata.session import spread
+
 #: Slots of the hashed tables: values and words, for each field.
 VALUE_SLOTS = 1 << 18
 WORD_SLOTS = 1 << 17
@@ -454,7 +456,7 @@ def split_packed(df: DataFrame, key: str, columns: list[str], tagged: list[str]
     rows of each of its records.  Other columns of ``df`` are not read.
     """
     spark = df.sparkSession
-    source = df.select(F.col(key).alias("__key"), *[F.col(c).cast("string").alias(c) for c in columns])
+    source = spread(df.select(F.col(key).alias("__key"), *[F.col(c).cast("string").alias(c) for c in columns]))
     models = spark.sparkContext.broadcast(learn_splits(source, columns, rounds))
     key_type = df.schema[key].dataType
     tag = frozenset(tagged)

@@ -12,11 +12,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from orestrata.functions.text import SPACE, tokens
+from orestrata.functions.text import SPACE, any_of, tokens
 from orestrata.functions.vectors import cosine, usable
 from orestrata.operators.filters import Filters
+from orestrata.session import spread
 
 K1, B = 1.2, 0.75
+#: Digits of a score that count, so that the order of additions never decides a rank.
+SCORE_DIGITS = 9
 #: Fields and boosts of the multi-field query.
 BOOSTS = {"title": 3.0, "summary": 2.0, "overall_design": 1.0, "search_text": 1.0}
 
@@ -43,8 +46,13 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(r"[^\w]+|_", query.lower()) if t))
 
 
-def _frequency(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+_LETTER = r"[\p{L}\p{N}]"
+
+
+def _frequency(text: Column, term: str) -> Column:
+    """How often a word stands in lower-cased text; rows without its letters skip the pattern."""
+    pattern = rf"(?<!{_LETTER})\Q{term}\E(?!{_LETTER})"
+    return F.when(F.contains(text, F.lit(term)), F.regexp_count(text, F.lit(pattern))).otherwise(F.lit(0))
 
 
 def bm25_scores(df: DataFrame, text: Column, query: str, condition: Column | None = None) -> DataFrame:
@@ -57,27 +65,28 @@ def bm25_scores(df: DataFrame, text: Column, query: str, condition: Column | Non
     if not terms:
         out = df.withColumn("score", F.lit(1.0))
         return out.where(condition) if condition is not None else out
-    words = df.withColumn("__words", tokens(text))
-    counted = words.select(F.size("__words").alias("dl"), *[F.array_contains("__words", t).cast("int").alias(f"d{i}") for i, t in enumerate(terms)]).where("dl > 0")
+    low = df.withColumn("__low", F.lower(F.coalesce(text, F.lit(""))))
+    counted = low.select(F.regexp_count("__low", F.lit(f"{_LETTER}+")).alias("dl"), *[(_frequency(F.col("__low"), t) > 0).cast("int").alias(f"d{i}") for i, t in enumerate(terms)]).where("dl > 0")
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(terms))]).first()
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    scored = words.where(condition) if condition is not None else words
-    scored = scored.where(F.arrays_overlap("__words", F.array(*[F.lit(t) for t in terms])))
-    scored = scored.withColumn("__dl", F.size("__words"))
+    scored = low.where(condition) if condition is not None else low
+    scored = scored.where(any_of([F.contains("__low", F.lit(t)) for t in terms]))
     for i, t in enumerate(terms):
-        scored = scored.withColumn(f"__tf{i}", _frequency(F.col("__words"), t))
+        scored = scored.withColumn(f"__tf{i}", _frequency(F.col("__low"), t))
+    scored = scored.where(any_of([F.col(f"__tf{i}") > 0 for i in range(len(terms))])).withColumn("__dl", F.regexp_count("__low", F.lit(f"{_LETTER}+")))
     score = F.lit(0.0)
     for i in range(len(terms)):
         df_i = stats[f"d{i}"] or 0
         idf = math.log(1 + (n - df_i + 0.5) / (df_i + 0.5))
         tf = F.col(f"__tf{i}").cast("double")
         score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__dl") / F.lit(float(avgdl))))
-    return scored.withColumn("score", score).drop("__words", "__dl", *[f"__tf{i}" for i in range(len(terms))])
+    return scored.withColumn("score", F.round(score, SCORE_DIGITS)).drop("__low", "__dl", *[f"__tf{i}" for i in range(len(terms))])
 
 
 def bm25(df: DataFrame, text: Column, query: str, k: int, filters: Filters = Filters()) -> DataFrame:
     """The ``k`` best rows (id, score) over one text, ties by id."""
-    scored = bm25_scores(df, text, query, filters.condition() if filters.wanted else None)
+    narrow = spread(df.select("id", text.alias("__text"), *filters.wanted))
+    scored = bm25_scores(narrow, F.col("__text"), query, filters.condition() if filters.wanted else None)
     return scored.select("id", "score").orderBy(F.desc("score"), "id").limit(k)
 
 
@@ -85,16 +94,17 @@ def bm25_fields(df: DataFrame, query: str, k: int, filters: Filters = Filters(),
     """The ``k`` best rows by the largest boosted score of any field."""
     if not query_terms(query):
         return filters.apply(df).select("id", F.lit(1.0).alias("score")).orderBy("id").limit(k)
-    parts = None
-    for name, boost in (boosts or BOOSTS).items():
-        one = bm25_scores(df, F.col(name), query, filters.condition() if filters.wanted else None).select("id", (F.col("score") * boost).alias("score"))
+    parts, boosts = None, boosts or BOOSTS
+    narrow = spread(df.select("id", *boosts, *filters.wanted))
+    for name, boost in boosts.items():
+        one = bm25_scores(narrow, F.col(name), query, filters.condition() if filters.wanted else None).select("id", (F.col("score") * boost).alias("score"))
         parts = one if parts is None else parts.unionByName(one)
     return parts.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def postings(df: DataFrame, text: Column) -> DataFrame:
     """(term, id, tf, dl): the inverted index for repeated queries; write it partitioned or sorted by term."""
-    words = df.select("id", tokens(text).alias("words")).where(F.size("words") > 0)
+    words = spread(df.select("id", text.alias("text"))).select("id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
     return words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -104,13 +114,13 @@ def bm25_postings(index: DataFrame, n_docs: int, avgdl: float, query: str, k: in
     df_t = hit.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl))))
-    return hit.join(df_t, "term").groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return hit.join(df_t, "term").groupBy("id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def dense(df: DataFrame, vector: str, query: list[float], k: int, filters: Filters = Filters()) -> DataFrame:
     """The ``k`` rows (id, score) of the largest cosine, conditions applied before; unusable vectors are left out."""
-    fit = filters.apply(df.where(usable(F.col(vector), len(query))))
-    return fit.select("id", cosine(F.col(vector), query).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    fit = filters.apply(spread(df.select("id", vector, *filters.wanted)).where(usable(F.col(vector), len(query))))
+    return fit.select("id", F.round(cosine(F.col(vector), query), SCORE_DIGITS).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
 def lookup_vector(df: DataFrame, vector: str, id_value: int) -> list[float]:

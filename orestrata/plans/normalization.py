@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orestrata.functions import normalize as N
 from orestrata.functions import text as X
-from orestrata.session import scratch_dir, table
+from orestrata.session import scratch_dir, spread, table
 from orestrata.streaming import logs as L
 
 
@@ -79,7 +79,7 @@ def stage_reject(spark, sf_dir):
 
 def assay_tags(spark, sf_dir):
     kinds, labels, status = N.map_assay(F.col("type"), F.concat_ws(" ", F.coalesce("type", F.lit("")), X.surface(["title", "summary", "overall_design"])))
-    return table(spark, sf_dir, "series").select("id", F.array_join(kinds, "|").alias("kinds"), F.array_join(labels, "|").alias("labels"), status.alias("status"))
+    return spread(table(spark, sf_dir, "series").select("id", "type", "title", "summary", "overall_design")).select("id", F.array_join(kinds, "|").alias("kinds"), F.array_join(labels, "|").alias("labels"), status.alias("status"))
 
 
 _ASSAY_TEXTS = [
@@ -137,7 +137,7 @@ def _lines(events: DataFrame) -> DataFrame:
 
 
 def log_redact_filter(spark, sf_dir):
-    out = L.parse(_lines(table(spark, sf_dir, "events")), excluded=("svc.click",))
+    out = L.parse(_lines(spread(table(spark, sf_dir, "events"))), excluded=("svc.click",))
     return out.select("event", "level", "logger", "message", "route", "status_code")
 
 

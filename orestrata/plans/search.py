@@ -228,7 +228,7 @@ def _bm25(expr: str, name: str, condition: str = "true", boost: float = 1.0) ->
 {name}_s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {name}_d),
 {name}_f AS (SELECT id, ok, dl, t.term, len(list_filter(w, lambda x: x = t.term)) AS tf FROM {name}_d, (SELECT unnest({_TERM_LIST}) AS term) t),
 {name}_q AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM {name}_f GROUP BY term),
-{name} AS (SELECT id, {boost} * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+{name} AS (SELECT id, {boost} * round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM {name}_f JOIN {name}_q USING (term), {name}_s WHERE tf > 0 AND ok GROUP BY id)"""
 
 
@@ -238,7 +238,7 @@ _USABLE = f"len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: x I
 def _knn(name: str, condition: str = "true") -> str:
     return f"""
 {name}_u AS (SELECT id, embedding::DOUBLE[] AS v, {condition} AS ok FROM series WHERE {_USABLE}),
-{name} AS (SELECT u.id, list_cosine_similarity(u.v, q.v) AS score FROM {name}_u u, (SELECT v FROM {name}_u ORDER BY id LIMIT 1) q WHERE u.ok)"""
+{name} AS (SELECT u.id, round(list_cosine_similarity(u.v, q.v), 9) AS score FROM {name}_u u, (SELECT v FROM {name}_u ORDER BY id LIMIT 1) q WHERE u.ok)"""
 
 
 def _top(name: str, k: int) -> str:

@@ -62,3 +62,21 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Planned bytes up to which a table of few files is dealt over all cores before heavy work.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that lies in fewer files than there are cores, dealt over the cores.
+
+    One file of one row group would otherwise keep a whole cluster waiting for
+    one task. Larger tables and tables of many files stay as they are, without
+    a shuffle; the rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if planned > SPREAD_BYTES or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
