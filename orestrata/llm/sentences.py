@@ -19,7 +19,7 @@ size, so neither what travels nor what is broadcast grows with the corpus.
 from __future__ import annotations
 
 import re
-import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from orestrata.session import spread
+
 #: Documents the classifier is trained on, at most.
 TRAINING_DOCUMENTS = 4000
 STAT_SLOTS = 1 << 17
@@ -39,6 +41,8 @@ CLOSERS = "\"'”’»)]}」』》）】〉›“"
 _PAIRS = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "《": "》", "【": "】", "«": "»", "“": "”", "„": "“”"}
 _BULLET = re.compile(r"[ \t]*(?:[-*•–—‣·◦]|\(?\d{1,3}[.)]|\(?[a-zA-Z]\))[ \t]+\S")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*|\x0c\s*")
+_ANY_PAIR = re.compile(r"[\"(\[（「『《【«“„]")
+_SPACED_SCRIPT = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
 _MARK_RUN = re.compile(r"[" + re.escape(MARKS) + r"]+")
 _WORD = re.compile(r"[^\W_]+(?:['’.\-][^\W_]+)*")
 _NEXT_WORD = re.compile(r"[ \n]+([^\W\d_]+)")
@@ -164,12 +168,15 @@ def _depths(text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
 def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
     """All places within a paragraph where a sentence could end before its end."""
     out: list[Candidate] = []
-    spans = _depths(text, lo, hi)
-    inside = np.zeros(hi - lo + 1, dtype=bool)
-    begins: dict[int, tuple[int, int]] = {}
-    for a, b, paren in spans:
-        inside[a - lo + 1:b - lo] = True
-        begins[b] = (a, paren)
+    spans = sorted(_depths(text, lo, hi)) if _ANY_PAIR.search(text, lo, hi) else []
+    opened_at = [a for a, _, _ in spans]
+    begins = {b: (a, paren) for a, b, paren in spans}
+
+    def inside(i: int) -> bool:
+        """Strictly within an outermost quotation or parenthesis."""
+        k = bisect_right(opened_at, i - 1) - 1
+        return k >= 0 and opened_at[k] < i < spans[k][1]
+
     at = lo
     for m in _MARK_RUN.finditer(text, lo, hi):
         a, b = m.span()
@@ -197,9 +204,7 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
                 end += 1
                 continue
             break
-        if inside[a - lo] and not closed:
-            continue
-        if inside[min(end, hi) - lo - 1] and end - 1 not in begins and closed is False:
+        if not closed and (inside(a) or inside(end - 1) and end - 1 not in begins):
             continue
         at = end
         rest = end
@@ -228,11 +233,11 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
         while start > lo and not text[start - 1].isspace():
             start -= 1
         out.append(Candidate(a, end, rest, before, token_after(text, rest, hi), token_before(text, len(text[:start].rstrip()), lo), kind))
-    if any(0xE00 <= ord(c) < 0xF00 or 0x1000 <= ord(c) < 0x10A0 or 0x1780 <= ord(c) < 0x1800 for c in text[lo:hi]):
+    if _SPACED_SCRIPT.search(text, lo, hi):
         taken = {c.next for c in out}
         for m in re.finditer(r"\s+", text[lo:hi]):
             a, b = lo + m.start(), lo + m.end()
-            if a == lo or b >= hi or b in taken or inside[a - lo]:
+            if a == lo or b >= hi or b in taken or inside(a):
                 continue
             titled = script_of(text[b]) == "latin" and text[b].isupper() and b + 1 < hi and text[b + 1].islower()
             if script_of(text[a - 1]) == "spaced" and (script_of(text[b]) == "spaced" or titled or text[b] in "\"“(¿¡«"):
@@ -476,10 +481,10 @@ class Model:
     lexical: np.ndarray
     stats: Statistics
 
-    def probability(self, text: str, c: Candidate) -> float:
+    def ends(self, text: str, c: Candidate) -> bool:
+        """Whether the candidate more probably ends a sentence than not."""
         d, l = features(text, c, self.stats)
-        z = float(d @ self.dense + sum(self.lexical[i] for i in l))
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+        return float(d @ self.dense) + sum(float(self.lexical[i]) for i in l) >= 0.0
 
 
 def training_rows(texts, stats: Statistics):
@@ -563,7 +568,7 @@ def segment(text: str, model: Model) -> list[tuple[int, int]]:
         for c in found:
             if continues(text, c):
                 continue
-            if c.end > at and model.probability(text, c) >= 0.5:
+            if c.end > at and model.ends(text, c):
                 add(at, c.end)
                 at = c.end
         add(at, hi)
@@ -603,7 +608,7 @@ def split_sentences(df: DataFrame, id_column: str, text_column: str) -> DataFram
     unit per paragraph. Repeated and null ids are documents of their own; other
     columns are not read.
     """
-    base = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.length("text") > 0)
+    base = spread(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.length("text") > 0))
     model = df.sparkSession.sparkContext.broadcast(learn(base, "text"))
 
     def run(batches):
