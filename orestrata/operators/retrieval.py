@@ -55,20 +55,27 @@ def _frequency(text: Column, term: str) -> Column:
     return F.when(F.contains(text, F.lit(term)), F.regexp_count(text, F.lit(pattern))).otherwise(F.lit(0))
 
 
-def bm25_scores(df: DataFrame, text: Column, query: str, condition: Column | None = None) -> DataFrame:
+def corpus_stats(df: DataFrame, text: Column, query: str) -> dict:
+    """Texts with a word, their mean length, and of each term of the query how many texts hold it."""
+    terms = query_terms(query)
+    low = df.select(F.lower(F.coalesce(text, F.lit(""))).alias("__low"))
+    counted = low.select(F.regexp_count("__low", F.lit(f"{_LETTER}+")).alias("dl"), *[(_frequency(F.col("__low"), t) > 0).cast("int").alias(f"d{i}") for i, t in enumerate(terms)]).where("dl > 0")
+    return counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(terms))]).first().asDict()
+
+
+def bm25_scores(df: DataFrame, text: Column, query: str, condition: Column | None = None, stats: dict | None = None) -> DataFrame:
     """``df`` with ``score`` for the rows that hold a term of the query.
 
-    Conditions restrict what is scored, never the statistics. A blank query
-    scores every row 1.
+    Conditions restrict what is scored, never the statistics, which several
+    retrievals of one query may share. A blank query scores every row 1.
     """
     terms = query_terms(query)
     if not terms:
         out = df.withColumn("score", F.lit(1.0))
         return out.where(condition) if condition is not None else out
-    low = df.withColumn("__low", F.lower(F.coalesce(text, F.lit(""))))
-    counted = low.select(F.regexp_count("__low", F.lit(f"{_LETTER}+")).alias("dl"), *[(_frequency(F.col("__low"), t) > 0).cast("int").alias(f"d{i}") for i, t in enumerate(terms)]).where("dl > 0")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(terms))]).first()
+    stats = stats or corpus_stats(df, text, query)
     n, avgdl = stats["n"], stats["avgdl"] or 1.0
+    low = df.withColumn("__low", F.lower(F.coalesce(text, F.lit(""))))
     scored = low.where(condition) if condition is not None else low
     scored = scored.where(any_of([F.contains("__low", F.lit(t)) for t in terms]))
     for i, t in enumerate(terms):
@@ -83,10 +90,10 @@ def bm25_scores(df: DataFrame, text: Column, query: str, condition: Column | Non
     return scored.withColumn("score", F.round(score, SCORE_DIGITS)).drop("__low", "__dl", *[f"__tf{i}" for i in range(len(terms))])
 
 
-def bm25(df: DataFrame, text: Column, query: str, k: int, filters: Filters = Filters()) -> DataFrame:
+def bm25(df: DataFrame, text: Column, query: str, k: int, filters: Filters = Filters(), stats: dict | None = None) -> DataFrame:
     """The ``k`` best rows (id, score) over one text, ties by id."""
     narrow = spread(df.select("id", text.alias("__text"), *filters.wanted))
-    scored = bm25_scores(narrow, F.col("__text"), query, filters.condition() if filters.wanted else None)
+    scored = bm25_scores(narrow, F.col("__text"), query, filters.condition() if filters.wanted else None, stats)
     return scored.select("id", "score").orderBy(F.desc("score"), "id").limit(k)
 
 

@@ -10,7 +10,7 @@ from orestrata.operators import candidates as C
 from orestrata.operators import facets as FC
 from orestrata.operators import retrieval as R
 from orestrata.operators.filters import FACETS, Filters
-from orestrata.session import table
+from orestrata.session import spread, table
 
 QUERY = "heat stress liver transcript profiling"
 TERMS = ["heat", "stress", "liver", "transcript", "profiling"]
@@ -96,10 +96,13 @@ def facet_unfiltered(spark, sf_dir):
 
 
 def facet_candidate_pool(spark, sf_dir):
+    series = _series(spark, sf_dir)
+    stats = R.corpus_stats(spread(series.select(*FIELDS)), surface(FIELDS), QUERY)
+
     def retrieve(df, filters):
-        return R.bm25(df, surface(FIELDS), QUERY, 100, filters)
+        return R.bm25(df, surface(FIELDS), QUERY, 100, filters, stats)
 
-    return FC.pool_facets(_series(spark, sf_dir), Filters.of(WANTED), retrieve, limit=50)
+    return FC.pool_facets(series, Filters.of(WANTED), retrieve, limit=50)
 
 
 def facet_vocabulary(spark, sf_dir):
