@@ -343,5 +343,7 @@ def connected(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         if before is not None and tuple(now) == tuple(before):
             break
         before = now
+    else:
+        raise RuntimeError(f"links not resolved in {most_rounds} rounds")
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).groupBy("id").agg(F.min("root").alias("root"))

@@ -117,6 +117,20 @@ QUERIES = {f.__name__: f for f in (
     p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_report, p5_found, p5_pieces, p6_containers, p6_fill, p7_selection, p7_shares, p8_found)}
 #: Equivalents for DuckDB where SQL can express the result on whole tables.
 SQL: dict[str, str] = {
+    "p2_found": r"""
+WITH w AS (
+  SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(overall_design, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS l FROM series),
+g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) AS s FROM w WHERE len(l) >= 3),
+n AS (SELECT id, count(*) AS c FROM g GROUP BY id),
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM g a JOIN g b USING (s) WHERE a.id < b.id GROUP BY a.id, b.id)
+SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k / (x.c + y.c - k)::DOUBLE >= 0.6""",
+    "p3_found": r"""
+WITH v AS (
+  SELECT id, embedding::DOUBLE[] AS v FROM series WHERE len(embedding) = 384
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+c AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a, v b WHERE a.id <> b.id),
+r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM c)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE rn <= 10 AND s >= 0.80""",
     "p5_found": r"""
 WITH t AS (
   SELECT 'search_text' AS field, gse, search_text AS x FROM series UNION ALL
