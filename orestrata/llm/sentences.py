@@ -39,9 +39,9 @@ MARKS = ".!?…。！？．｡։؟۔।॥።፧፨၊။᙮᠃;;"
 _HARD = "。！？．｡।॥።፧፨။؟!?"
 CLOSERS = "\"'”’»)]}」』》）】〉›“"
 _PAIRS = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "《": "》", "【": "】", "«": "»", "“": "”", "„": "“”"}
+_BRACKETS = re.compile("[" + re.escape("".join(_PAIRS) + "".join(_PAIRS.values()) + '"') + "]")
 _BULLET = re.compile(r"[ \t]*(?:[-*•–—‣·◦]|\(?\d{1,3}[.)]|\(?[a-zA-Z]\))[ \t]+\S")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*|\x0c\s*")
-_ANY_PAIR = re.compile(r"[\"(\[（「『《【«“„]")
 _SPACED_SCRIPT = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
 _MARK_RUN = re.compile(r"[" + re.escape(MARKS) + r"]+")
 _WORD = re.compile(r"[^\W_]+(?:['’.\-][^\W_]+)*")
@@ -134,41 +134,58 @@ class Candidate:
 
 
 def _depths(text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
-    """Spans (open, close, 1 if a parenthesis) of outermost quotations and parentheses that are closed within the paragraph."""
-    spans, stack = [], []
-    for i in range(lo, hi):
-        ch = text[i]
-        if stack and ch in stack[-1][1]:
-            a, _, paren = stack.pop()
-            if not stack:
-                spans.append((a, i, paren))
-            continue
-        if ch == '"':
-            if (i == lo or text[i - 1].isspace() or text[i - 1] in "([（") and i + 1 < hi and not text[i + 1].isspace():
-                stack.append((i, '"', 0))
-        elif ch in _PAIRS:
-            stack.append((i, _PAIRS[ch], int(ch in "([（【")))
-        elif ch in ")]）」』》】»" and stack:
-            # A stray closing mark: the innermost span it could close ends, what was opened inside was never closed.
-            for k in range(len(stack) - 1, -1, -1):
-                if ch in stack[k][1]:
-                    a, _, paren = stack[k]
-                    del stack[k:]
-                    if not stack:
-                        spans.append((a, i, paren))
-                    break
-    if stack:
-        # What was never closed is no span, but closed ones within it are.
-        inner = stack[0][0] + 1
-        if inner < hi:
-            spans.extend(_depths(text, inner, hi))
-    return spans
+    """Spans (open, close, 1 if a parenthesis), in order, of the outermost quotations and parentheses that are closed within the paragraph.
+
+    One pass: a closing mark ends the innermost span it can end, and what was
+    opened inside that span was never closed. Unclosed openings are no spans,
+    but closed ones within them are.
+    """
+    closed: list[tuple[int, int, int]] = []
+    stack: list[tuple[int, str, int]] = []
+    waiting: dict[str, int] = {}
+
+    def pop() -> tuple[int, str, int]:
+        top = stack.pop()
+        for c in top[1]:
+            waiting[c] -= 1
+        return top
+
+    def push(at: int, closers: str, paren: int) -> None:
+        stack.append((at, closers, paren))
+        for c in closers:
+            waiting[c] = waiting.get(c, 0) + 1
+
+    for m in _BRACKETS.finditer(text, lo, hi):
+        i, ch = m.start(), m.group()
+        opens = ch in _PAIRS or ch == '"' and (i == lo or text[i - 1].isspace() or text[i - 1] in "([（") and i + 1 < hi and not text[i + 1].isspace()
+        if stack and ch in stack[-1][1] or not opens and waiting.get(ch, 0) > 0:
+            top = pop()
+            while ch not in top[1]:
+                top = pop()
+            closed.append((top[0], i, top[2]))
+        elif opens:
+            push(i, _PAIRS.get(ch, ch), int(ch in "([（【"))
+    out: list[tuple[int, int, int]] = []
+    for span in sorted(closed):
+        if not out or span[0] > out[-1][1]:
+            out.append(span)
+    return out
+
+
+def _end_of(text: str, lo: int, hi: int) -> int:
+    """``hi`` without the white space before it."""
+    while hi > lo and text[hi - 1].isspace():
+        hi -= 1
+    return hi
 
 
 def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
     """All places within a paragraph where a sentence could end before its end."""
     out: list[Candidate] = []
-    spans = sorted(_depths(text, lo, hi)) if _ANY_PAIR.search(text, lo, hi) else []
+    spans = _depths(text, lo, hi)
+    head = lo
+    while head < hi and text[head].isspace():
+        head += 1
     opened_at = [a for a, _, _ in spans]
     begins = {b: (a, paren) for a, b, paren in spans}
 
@@ -194,7 +211,7 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
                 if end in begins:
                     closed = True
                     opened, paren = begins[end]
-                    standalone = bool(paren) and not text[lo:opened].strip() or bool(paren) and _opens_next(out, opened)
+                    standalone = bool(paren) and (opened <= head or _opens_next(out, opened))
                 end += 1
                 continue
             if ch in "   " and end + 1 < hi and text[end + 1] == "»" and end + 1 in begins:
@@ -228,16 +245,15 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
         elif not gap and mark[-1] in "!?;;" and not closed and not nxt.isupper() and script_of(nxt) not in ("han", "hangul", "spaced"):
             continue
         kind = "standalone" if standalone else "closed" if closed else "plain"
-        i = a - len(text[lo:a]) + len(text[lo:a].rstrip())
-        start = i
-        while start > lo and not text[start - 1].isspace():
+        start = _end_of(text, lo, a)
+        while start > lo and a - start < 80 and not text[start - 1].isspace():
             start -= 1
-        out.append(Candidate(a, end, rest, before, token_after(text, rest, hi), token_before(text, len(text[:start].rstrip()), lo), kind))
+        out.append(Candidate(a, end, rest, before, token_after(text, rest, hi), token_before(text, _end_of(text, lo, start), lo), kind))
     if _SPACED_SCRIPT.search(text, lo, hi):
         taken = {c.next for c in out}
         for m in re.finditer(r"\s+", text[lo:hi]):
             a, b = lo + m.start(), lo + m.end()
-            if a == lo or b >= hi or b in taken or inside(a):
+            if a <= lo or b >= hi or b in taken or inside(a):
                 continue
             titled = script_of(text[b]) == "latin" and text[b].isupper() and b + 1 < hi and text[b + 1].islower()
             if script_of(text[a - 1]) == "spaced" and (script_of(text[b]) == "spaced" or titled or text[b] in "\"“(¿¡«"):
@@ -366,7 +382,7 @@ def _observe(text: str):
 
 def _final(text: str, lo: int, hi: int) -> tuple[str, str] | None:
     """Token and mark at the end of a paragraph, if it ends with a mark."""
-    end = len(text[:hi].rstrip())
+    end = _end_of(text, lo, hi)
     while end > lo and text[end - 1] in CLOSERS:
         end -= 1
     b = end
@@ -509,7 +525,7 @@ def training_rows(texts, stats: Statistics):
                 start = parts[k + 1][0]
                 while start < parts[k + 1][1] and text[start].isspace():
                     start += 1
-                end = len(text[:hi].rstrip())
+                end = _end_of(text, lo, hi)
                 at = end
                 while at > lo and text[at - 1] in CLOSERS:
                     at -= 1
