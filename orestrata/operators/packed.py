@@ -28,6 +28,9 @@ from orestrata.session import spread
 VALUE_SLOTS = 1 << 18
 WORD_SLOTS = 1 << 17
 
+#: Parts between doubtful delimiters that one value may hold, at most.
+MOST_PARTS = 12
+
 #: Kinds of delimiters. Marks are cut points wherever they stand; words and
 #: spaced signs only between white space.
 _MARKS = {"\n": "break", "\r": "break", "\t": "tab", ";": "semicolon", "|": "pipe", ",": "comma",
@@ -72,13 +75,16 @@ def _quote_end(text: str, start: int) -> int:
 
 
 def _inner_quote_end(text: str, start: int) -> int:
-    """As above for a double quotation within a value: it may be followed by any white space, and stays on its line."""
+    """As above for a double quotation within a value: it may be followed by any white space, and stays on its line.
+
+    If it isn't closed, minus the end of the line.
+    """
     i, n = start + 1, len(text)
     while i < n and text[i] not in "\n\r\t":
         if text[i] == '"' and (i + 1 >= n or not text[i + 1].isalnum()):
             return i + 1
         i += 1
-    return -1
+    return -i
 
 
 def cut_points(text: str) -> list[tuple[int, int, str]]:
@@ -98,6 +104,8 @@ def cut_points(text: str) -> list[tuple[int, int, str]]:
             out.append((a, b, kind))
         return out
     i, n, fresh = 0, len(text), True
+    unclosed: set[str] = set()  # what no later mark closes isn't looked for again
+    dead = 0
     while i < n:
         ch = text[i]
         if ch == "\\":
@@ -105,10 +113,14 @@ def cut_points(text: str) -> list[tuple[int, int, str]]:
             continue
         if ch in _QUOTES:
             end = -1
-            if fresh:
+            if fresh and ch not in unclosed:
                 end = _quote_end(text, i)
-            elif ch == '"' and text[i - 1].isspace():
+                if end < 0:
+                    unclosed.add(ch)
+            elif ch == '"' and i >= dead and text[i - 1].isspace():
                 end = _inner_quote_end(text, i)
+                if end < 0:
+                    dead, end = -end, -1  # up to the end of the line none is closed
             if end > 0:
                 i, fresh = end, False
                 continue
@@ -224,18 +236,28 @@ def _segments_between(text: str, cuts: list[tuple[int, int, str]]) -> list[str]:
     return out
 
 
+def _log_add(a: float, b: float) -> float:
+    hi, lo = (a, b) if a > b else (b, a)
+    return hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
+
+
 def _lattice(text: str, sure: list, doubt: list, model: SplitModel) -> tuple[list[str], dict[str, list[float]], list[tuple[str, float]]]:
     """Best split by Viterbi, and by forward-backward the expected cuts of each doubtful kind and expected values.
 
     ``sure`` cuts bound independent stretches; within one, every set of the
-    ``doubt`` cuts is a path. A stretch with n of them has (n+1)(n+2)/2 edges.
+    ``doubt`` cuts that leaves no value of more than MOST_PARTS parts is a path,
+    so a stretch with n of them has at most MOST_PARTS * (n + 1) edges.
     """
     best: list[str] = []
     cut_stats: dict[str, list[float]] = {}
     expected: list[tuple[str, float]] = []
-    start = 0
+    start = at = 0
     for stop, after in [(a, b) for a, b, _ in sure] + [(len(text), len(text))]:
-        inner = [c for c in doubt if start <= c[0] and c[1] <= stop]
+        inner = []
+        while at < len(doubt) and doubt[at][1] <= stop:
+            if doubt[at][0] >= start:
+                inner.append(doubt[at])
+            at += 1
         if not inner:
             best.append(text[start:stop])
             expected.append((text[start:stop], 1.0))
@@ -246,35 +268,32 @@ def _lattice(text: str, sure: list, doubt: list, model: SplitModel) -> tuple[lis
         n = len(inner)
         lc = [math.log(model.cut[c[2]]) for c in inner]
         lj = [math.log(1.0 - model.cut[c[2]]) for c in inner]
-        score = [[0.0] * (n + 1) for _ in range(n + 1)]
+        score: list[list[float]] = []  # of the values that begin at i, by how many parts they hold beyond one
         for i in range(n + 1):
-            joined = 0.0
-            for j in range(i, n + 1):
+            joined, own = 0.0, []
+            for j in range(i, min(n + 1, i + MOST_PARTS)):
                 if j > i:
                     joined += lj[j - 1]
-                score[i][j] = joined + model.log_value(_key(text[begins[i]:ends[j]])) + (lc[j] if j < n else 0.0)
+                own.append(joined + model.log_value(_key(text[begins[i]:ends[j]])) + (lc[j] if j < n else 0.0))
+            score.append(own)
         top, back = [0.0] + [-math.inf] * (n + 1), [0] * (n + 2)
         fwd = [0.0] + [-math.inf] * (n + 1)
-        for j in range(1, n + 2):
-            for i in range(j):
-                s = score[i][j - 1]
+        for i in range(n + 1):
+            for k, s in enumerate(score[i]):
+                j = i + k + 1
                 if top[i] + s > top[j]:
                     top[j], back[j] = top[i] + s, i
-                x = fwd[i] + s
-                hi, lo = (fwd[j], x) if fwd[j] > x else (x, fwd[j])
-                fwd[j] = hi + (math.log1p(math.exp(lo - hi)) if lo > -math.inf else 0.0)
+                fwd[j] = _log_add(fwd[j], fwd[i] + s)
         bwd = [-math.inf] * (n + 1) + [0.0]
         for i in range(n, -1, -1):
-            for j in range(i, n + 1):
-                x = score[i][j] + bwd[j + 1]
-                hi, lo = (bwd[i], x) if bwd[i] > x else (x, bwd[i])
-                bwd[i] = hi + (math.log1p(math.exp(lo - hi)) if lo > -math.inf else 0.0)
+            for k, s in enumerate(score[i]):
+                bwd[i] = _log_add(bwd[i], s + bwd[i + k + 1])
         whole = fwd[n + 1]
         for i in range(n + 1):
-            for j in range(i, n + 1):
-                p = math.exp(min(0.0, fwd[i] + score[i][j] + bwd[j + 1] - whole))
+            for k, s in enumerate(score[i]):
+                p = math.exp(min(0.0, fwd[i] + s + bwd[i + k + 1] - whole))
                 if p > 1e-4:
-                    expected.append((text[begins[i]:ends[j]], p))
+                    expected.append((text[begins[i]:ends[i + k]], p))
         for c in range(n):
             p = math.exp(min(0.0, fwd[c + 1] + bwd[c + 1] - whole))
             got = cut_stats.setdefault(inner[c][2], [0.0, 0.0])
