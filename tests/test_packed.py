@@ -59,3 +59,12 @@ def test_awkward_rows(spark):
     assert sorted((r.id, r.pos, r.val) for r in got if r.id == 5) == [(5, 1, "a"), (5, 1, "a"), (5, 2, "b"), (5, 2, "b")]
     assert [r.val for r in got if r.id is None] == ["z"]
     assert split_packed(df.limit(0), "id", ["f"]).count() == 0
+
+
+def test_hostile_fields_stay_linear():
+    """Thousands of doubtful delimiters, and quotation marks that nothing closes."""
+    model = SplitModel()
+    assert len(segment('"a; ' * 20000, model)[0]) == 20001
+    assert len(segment("“;" * 20000, model)[0]) == 20001
+    parts = segment(" and ".join(["x y"] * 500), model)[0]
+    assert "".join("".join(parts).replace("and", "").split()) == "xy" * 500
