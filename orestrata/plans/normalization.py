@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orestrata.functions import normalize as N
 from orestrata.functions import text as X
+from orestrata.operators.packed import split_packed
 from orestrata.session import scratch_dir, spread, table
 from orestrata.streaming import logs as L
 
@@ -14,10 +15,19 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "gsm")
 
 
+def _named(tags: DataFrame, key: str) -> DataFrame:
+    """(key, name, value) of the values that are ``name: value`` or ``name = value`` tags."""
+    both = tags.select(key, F.regexp_extract("val", _TAG, 1).alias("name"), F.regexp_extract("val", _TAG, 2).alias("value")).where("name <> ''")
+    return both.select(key, F.lower("name").alias("name"), F.trim("value").alias("value"))
+
+
+#: Name and value of a tag, parted by the first colon or equals sign.
+_TAG = r"(?s)^\s*([^:=]*[^:=\s])\s*[:=]\s*(.*)$"
+
+
 def _tags(spark, sf_dir) -> DataFrame:
-    """(gsm, name, value) of every ``name: value`` tag of the samples."""
-    tags = _samples(spark, sf_dir).select("gsm", F.explode(F.split("characteristics_ch1", r"[|]")).alias("t")).where(F.contains("t", F.lit(":")))
-    return tags.select("gsm", F.lower(F.trim(F.split_part("t", F.lit(":"), F.lit(1)))).alias("name"), F.trim(F.substring("t", F.instr("t", ":") + 1, F.length("t"))).alias("value"))
+    """(gsm, name, value) of every tag of the samples, whatever separates them."""
+    return _named(split_packed(_samples(spark, sf_dir), "gsm", ["characteristics_ch1"], tagged=["characteristics_ch1"]), "gsm")
 
 
 def _of(spark, sf_dir, field) -> DataFrame:
