@@ -28,8 +28,10 @@ from orestrata.session import spread
 VALUE_SLOTS = 1 << 18
 WORD_SLOTS = 1 << 17
 
-#: Parts between doubtful delimiters that one value may hold, at most.
-MOST_PARTS = 12
+#: Parts between doubtful delimiters up to which every value of a stretch is looked up; in a longer
+#: stretch, values of more than NEAR_PARTS parts are scored by their words, but for the whole stretch.
+FULL_PARTS = 48
+NEAR_PARTS = 12
 
 #: Kinds of delimiters. Marks are cut points wherever they stand; words and
 #: spaced signs only between white space.
@@ -227,6 +229,26 @@ class SplitModel:
         return got
 
 
+    def log_novel(self, base: np.ndarray) -> np.ndarray:
+        """``log_value`` of values never seen, from the log frequencies of their words."""
+        return np.log(self.novel) + np.maximum(base, -300.0) - math.log(self.value_total + self.novel)
+
+    def words_before(self, text: str, begins: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log frequencies of words: the first of each part as an opening, all up to each part's end, and all up to its first word's."""
+        opening, upto, after, total = [], [], [], 0.0
+        for i, (a, b) in enumerate(zip(begins, ends)):
+            # The sign before a part is a word of what is joined.
+            if i:
+                total += sum(map(self._log_word, _key(text[ends[i - 1]:a]).split(" ")))
+            first, *rest = _key(text[a:b]).split(" ")
+            opening.append(self._log_word(_OPENING + first))
+            total += self._log_word(first) if first else 0.0
+            after.append(total)
+            total += sum(map(self._log_word, rest))
+            upto.append(total)
+        return np.array(opening), np.array(upto), np.array(after)
+
+
 def _segments_between(text: str, cuts: list[tuple[int, int, str]]) -> list[str]:
     out, at = [], 0
     for a, b, _ in cuts:
@@ -241,12 +263,34 @@ def _log_add(a: float, b: float) -> float:
     return hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
 
 
+def _edge_scores(text: str, begins: list[int], ends: list[int], lc: list[float], lj: list[float], model: SplitModel):
+    """A function of i: the scores of all values that begin with part i, shortest first, with the joins in them and the cut after them."""
+    n = len(lc)
+    joined = np.concatenate([[0.0], np.cumsum(lj)])
+    cut = np.array([*lc, 0.0])
+    near = n + 1 if n < FULL_PARTS else NEAR_PARTS
+    words = model.words_before(text, begins, ends) if near <= n else None
+
+    def row(i: int) -> np.ndarray:
+        j = min(n + 1, i + near)
+        value = np.array([model.log_value(_key(text[begins[i]:e])) for e in ends[i:j]])
+        if j <= n:
+            value = np.concatenate([value, model.log_novel(words[0][i] + words[1][j:] - words[2][i])])
+            if i == 0:
+                value[n] = model.log_value(_key(text[begins[0]:ends[n]]))
+        return joined[i:] - joined[i] + value + cut[i:]
+
+    if near <= n:
+        return row
+    rows = [row(i) for i in range(n + 1)]
+    return rows.__getitem__
+
+
 def _lattice(text: str, sure: list, doubt: list, model: SplitModel) -> tuple[list[str], dict[str, list[float]], list[tuple[str, float]]]:
     """Best split by Viterbi, and by forward-backward the expected cuts of each doubtful kind and expected values.
 
     ``sure`` cuts bound independent stretches; within one, every set of the
-    ``doubt`` cuts that leaves no value of more than MOST_PARTS parts is a path,
-    so a stretch with n of them has at most MOST_PARTS * (n + 1) edges.
+    ``doubt`` cuts is a path.
     """
     best: list[str] = []
     cut_stats: dict[str, list[float]] = {}
@@ -268,32 +312,22 @@ def _lattice(text: str, sure: list, doubt: list, model: SplitModel) -> tuple[lis
         n = len(inner)
         lc = [math.log(model.cut[c[2]]) for c in inner]
         lj = [math.log(1.0 - model.cut[c[2]]) for c in inner]
-        score: list[list[float]] = []  # of the values that begin at i, by how many parts they hold beyond one
+        row = _edge_scores(text, begins, ends, lc, lj, model)  # of the values that begin at i, by how many parts they hold beyond one
+        top, back = np.full(n + 2, -np.inf), np.zeros(n + 2, dtype=np.int64)
+        fwd, bwd = np.full(n + 2, -np.inf), np.full(n + 2, -np.inf)
+        top[0] = fwd[0] = bwd[n + 1] = 0.0
         for i in range(n + 1):
-            joined, own = 0.0, []
-            for j in range(i, min(n + 1, i + MOST_PARTS)):
-                if j > i:
-                    joined += lj[j - 1]
-                own.append(joined + model.log_value(_key(text[begins[i]:ends[j]])) + (lc[j] if j < n else 0.0))
-            score.append(own)
-        top, back = [0.0] + [-math.inf] * (n + 1), [0] * (n + 2)
-        fwd = [0.0] + [-math.inf] * (n + 1)
-        for i in range(n + 1):
-            for k, s in enumerate(score[i]):
-                j = i + k + 1
-                if top[i] + s > top[j]:
-                    top[j], back[j] = top[i] + s, i
-                fwd[j] = _log_add(fwd[j], fwd[i] + s)
-        bwd = [-math.inf] * (n + 1) + [0.0]
+            own = row(i)
+            better = top[i] + own > top[i + 1:]
+            top[i + 1:][better] = (top[i] + own)[better]
+            back[i + 1:][better] = i
+            fwd[i + 1:] = np.logaddexp(fwd[i + 1:], fwd[i] + own)
         for i in range(n, -1, -1):
-            for k, s in enumerate(score[i]):
-                bwd[i] = _log_add(bwd[i], s + bwd[i + k + 1])
+            bwd[i] = np.logaddexp.reduce(row(i) + bwd[i + 1:])
         whole = fwd[n + 1]
         for i in range(n + 1):
-            for k, s in enumerate(score[i]):
-                p = math.exp(min(0.0, fwd[i] + s + bwd[i + k + 1] - whole))
-                if p > 1e-4:
-                    expected.append((text[begins[i]:ends[i + k]], p))
+            p = np.exp(np.minimum(0.0, fwd[i] + row(i) + bwd[i + 1:] - whole))
+            expected.extend((text[begins[i]:ends[i + k]], float(p[k])) for k in np.flatnonzero(p > 1e-4).tolist())
         for c in range(n):
             p = math.exp(min(0.0, fwd[c + 1] + bwd[c + 1] - whole))
             got = cut_stats.setdefault(inner[c][2], [0.0, 0.0])
@@ -301,8 +335,9 @@ def _lattice(text: str, sure: list, doubt: list, model: SplitModel) -> tuple[lis
             got[1] += 1.0
         path, j = [], n + 1
         while j > 0:
-            path.append(text[begins[back[j]]:ends[j - 1]])
-            j = back[j]
+            i = int(back[j])
+            path.append(text[begins[i]:ends[j - 1]])
+            j = i
         best.extend(reversed(path))
         start = after
     return best, cut_stats, expected
@@ -312,7 +347,8 @@ def segment(text: str, model: SplitModel):
     """Split one field: (values in order, cut statistics, expected values).
 
     Commas join if any other mark, tab or line break separates; else each one
-    outside quotation that isn't between two digits separates.
+    outside quotation that isn't between two digits separates. Whether a sign in
+    doubt separates is seen between the commas, where values can't run together.
     """
     cuts = cut_points(text)
     if not cuts:
@@ -327,12 +363,15 @@ def segment(text: str, model: SplitModel):
         segs = _segments_between(text, sorted(sure + [c for c in cuts if c[2] == "comma"]))
         return segs, {}, [(s, 1.0) for s in segs]
     if not _separates(text, sure):
-        found = _lattice(text, sure, doubt, model)
-        inner = sum(1 for s in found[0] if s.strip())
-        worded = all(c[2] == "and" for c in doubt)
-        if inner > 1 and not worded:
+        commas = [c for c in cuts if c[2] == "comma"]
+        found = _lattice(text, sorted(sure + commas), doubt, model)
+        if not commas or all(c[2] == "and" for c in doubt):
+            return found
+        stretches = sum(1 for x in _segments_between(text, sorted(sure + commas)) if x.strip())
+        if sum(1 for x in found[0] if x.strip()) <= stretches:
             return found
-        sure = sorted(sure + [c for c in cuts if c[2] == "comma"])
+        over = _lattice(text, sure, doubt, model)
+        return over if sum(1 for x in over[0] if x.strip()) > 1 else found
     return _lattice(text, sure, doubt, model)
 
 
