@@ -130,9 +130,11 @@ def backoff(spark, sf_dir):
 
 
 def tag_split(spark, sf_dir):
-    """Distinct values of plainly packed sex tags per series."""
-    s = table(spark, sf_dir, "series").where("characteristics is not null")
-    return s.select("id", F.array_join(N.tag_values(F.col("characteristics"), "sex"), "|").alias("sexes")).where("sexes <> ''")
+    """Distinct values of the sex tags of every series, whatever separates the tags."""
+    s = table(spark, sf_dir, "series")
+    names = [k for k, v in N.FIELD_OF_TAG.items() if v == "sex"]
+    tags = _named(split_packed(s, "id", ["characteristics"], tagged=["characteristics"]), "id").where(F.col("name").isin(names) & (F.col("value") != ""))
+    return tags.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("value")), "|").alias("sexes"))
 
 
 # --- logs -------------------------------------------------------------------------------------------------------------

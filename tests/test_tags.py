@@ -16,3 +16,9 @@ def test_tags_at_all_separators(spark, tmp_path):
     sexes = {r.gsm: (r.ids, r.status) for r in P.sex_fold(spark, str(tmp_path)).collect()}
     assert sexes == {"GSM1": ("PATO:0000383", "mapped"), "GSM2": ("PATO:0000384", "mapped"), "GSM3": ("PATO:0000383", "mapped"), "GSM4": ("", "unknown")}
     assert {(r.field, r.n) for r in P.field_values(spark, str(tmp_path)).collect()} >= {("sex", 4), ("tissue", 2), ("age", 1)}
+
+
+def test_series_tags_at_all_separators(spark, tmp_path):
+    rows = [(1, "tissue: lung\nsex: male"), (2, "tissue: lung\tgender=F\tsex: m"), (3, 'tissue: lung, "sex: female", age: 4 weeks'), (4, "tissue: lung"), (5, None)]
+    spark.createDataFrame(rows, "id long, characteristics string").write.parquet(f"{tmp_path}/series.parquet")
+    assert {r.id: r.sexes for r in P.tag_split(spark, str(tmp_path)).collect()} == {1: "male", 2: "F|m", 3: "female"}
