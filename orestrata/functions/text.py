@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: White space as Unicode knows it, for Java's engine.
@@ -25,14 +26,19 @@ def surface(columns: list[str]) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end, as Unicode knows it."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def sorted_distinct(values: Column) -> Column:
     """Values of an array without null and blank ones, each once, in order."""
-    return F.array_sort(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (F.trim(v) != ""))))
+    return F.array_sort(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (strip(v) != ""))))
 
 
 def split_list(text: Column, pattern: str = ",") -> Column:
     """Trimmed non-empty parts in order of first occurrence."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, pattern), lambda v: F.trim(v)), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, pattern), strip), lambda v: v != ""))
 
 
 def list_blob(text: Column, cap: int = 20_000) -> Column:
@@ -42,7 +48,7 @@ def list_blob(text: Column, cap: int = 20_000) -> Column:
 
 def labelled(parts: list[tuple[str, Column]]) -> Column:
     """``Label: value`` lines of the parts that hold something."""
-    lines = [F.when(F.trim(F.coalesce(v, F.lit(""))) != "", F.concat(F.lit(f"{label}: "), v)) for label, v in parts]
+    lines = [F.when(strip(F.coalesce(v, F.lit(""))) != "", F.concat(F.lit(f"{label}: "), v)) for label, v in parts]
     return F.array_join(F.array_compact(F.array(*lines)), "\n")
 
 
@@ -113,7 +119,50 @@ def backoff_seconds(attempt: Column, base: float = 30.0, most: float = 300.0) ->
     return F.least(F.lit(base) * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1)), F.lit(most))
 
 
+# Names, after lower-casing and with underscores for hyphens, whose values are secret, and how secrets stand in text.
+SECRET_KEYS = ["access_key_id", "api_key", "authorization", "cookie", "password", "secret_access_key", "set_cookie"]
+BEARER = r"(?i)\bBearer\s+[^\s,;]+"
+ASSIGNMENT = (
+    r"(?i)\b(authorization|cookie|set-cookie|password|api[_-]?key|access[_-]?key(?:[_-]?id)?|secret[_-]?access[_-]?key)"
+    r"(\s*[:=]\s*)(?:\"[^\"]*\"|'[^']*'|[^\s,;]+)")
+MASK = "[REDACTED]"
+#: What a line must hold for a secret to be in it; the others needn't be parsed.
+SUSPECT = r"(?i)bearer|authorization|cookie|password|api[_-]?key|access[_-]?key|\\u00"
+
+
 def redacted(text: Column) -> Column:
-    """Secrets and bearer tokens in free text replaced."""
-    plain = F.regexp_replace(text, r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+", "$1[REDACTED]")
-    return F.regexp_replace(plain, r"(?i)\b((?:api[_-]?key|token|secret|password|authorization)\s*[=:]\s*)(?!bearer\b)[^\s,;&]+", "$1[REDACTED]")
+    """Bearer tokens and assigned secrets in free text replaced, quoted values whole."""
+    plain = F.regexp_replace(text, BEARER, f"Bearer {MASK}")
+    return F.regexp_replace(plain, ASSIGNMENT, f"$1$2{MASK}")
+
+
+def redacted_value(value):
+    """A parsed JSON value with every secret member masked at any depth and the text of all others redacted."""
+    import re
+
+    if isinstance(value, dict):
+        return {k: MASK if k.strip().casefold().replace("-", "_") in SECRET_KEYS else redacted_value(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [redacted_value(v) for v in value]
+    if isinstance(value, str):
+        return re.sub(ASSIGNMENT, rf"\g<1>\g<2>{MASK}", re.sub(BEARER, f"Bearer {MASK}", value))
+    return value
+
+
+def redacted_json(line: Column) -> Column:
+    """A JSON object redacted throughout, null for anything else. Lines without a suspect word stay in the JVM."""
+    @F.pandas_udf("string")
+    def run(lines: pd.Series) -> pd.Series:
+        import json
+
+        def one(x):
+            try:
+                value = json.loads(x) if x is not None else None
+            except (ValueError, RecursionError):
+                return None
+            return json.dumps(redacted_value(value), ensure_ascii=False, separators=(",", ":")) if isinstance(value, dict) else None
+
+        return lines.map(one)
+
+    suspect = line.rlike(SUSPECT)
+    return F.when(suspect, run(F.when(suspect, line))).otherwise(line)

@@ -170,8 +170,7 @@ def parse_records(files: DataFrame) -> DataFrame:
     sexes = F.transform(F.filter(tags, lambda t: F.lower(t["name"]).isin("sex", "gender")), lambda t: t["value"])
     ids, sex_status = map_sex(sexes)
     organisms = sample("Sample_organism")
-    table = {k: f"NCBITaxon:{v}" for k, v in SPECIES.items()}
-    organism_ids = sorted_distinct(F.transform(organisms, lambda n: lookup(table, F.lower(n))))
+    organism_ids = sorted_distinct(F.transform(organisms, lambda n: lookup(SPECIES, F.lower(n))))
     out = per.withColumn("error", error).select(
         "file", "error", F.col("s.accession").alias("gse"), first_of(series, "Series_title").alias("title"),
         F.array_join(values_of(series, "Series_summary"), "\n").alias("summary"), F.array_join(values_of(series, "Series_overall_design"), "\n").alias("overall_design"),

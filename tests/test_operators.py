@@ -72,7 +72,7 @@ def test_cost_checks_prices():
     ("female", "exact"), ("Male.", "exact"), ("famale", "fuzzy"), ("both", "mixed"), ("0", "numeric_code"), ("68M", "leaked_age"), ("C57BL/6", "leaked_strain"),
     ("hermaphrodite", "exact"), ("n/a", "unknown"), ("adult", "leaked_stage"), ("xyz", "unrecognized"), ("", "unknown")])
 def test_sex_reasons(spark, raw, reason):
-    assert spark.createDataFrame([(raw,)], "v string").select(N.sex_reason(F.col("v"))).first()[0] == reason
+    assert spark.createDataFrame([(raw,)], "v string").select(N.reason_of_token(N.token(F.col("v")))).first()[0] == reason
 
 
 @pytest.mark.parametrize(("values", "ids", "status"), [
