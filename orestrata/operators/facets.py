@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from orestrata.functions.normalize import FEMALE, HERMAPHRODITE, MALE, SPECIES, lookup
 from orestrata.functions.text import capitalized
 from orestrata.operators.filters import FACETS, Filters
 
@@ -40,14 +38,46 @@ def exact_facets(df: DataFrame, filters: Filters, fields=FACETS, limit: int | No
     return _counted(tall, limit)
 
 
-def pool_facets(df: DataFrame, filters: Filters, retrieve: Callable[[DataFrame, Filters], DataFrame], fields=FACETS, limit: int | None = 50) -> DataFrame:
-    """Counts over candidate pools: per field what ``retrieve`` finds (ids) without the field's own condition."""
-    parts = []
+def pool_facets(pools: DataFrame, limit: int | None = 50) -> DataFrame:
+    """(field, value, n) over candidate pools (field, id, values): rows that hold the value, each once."""
+    tall = pools.select("field", F.explode(F.array_distinct("values")).alias("value")).where(F.col("value").isNotNull())
+    return _counted(tall, limit)
+
+
+def candidate_counts(pools: DataFrame, fields=FACETS) -> DataFrame:
+    """(field, candidate_count) of every field, 0 where the pool is empty."""
+    every = pools.sparkSession.createDataFrame([(f,) for f in fields], "field string")
+    return every.join(pools.groupBy("field").agg(F.count("*").alias("candidate_count")), "field", "left").na.fill(0, ["candidate_count"])
+
+
+def facets(searcher, query: str, mode: str = "hybrid", vector_query=None, filters: Filters = Filters(), settings=None, fields=FACETS) -> DataFrame:
+    """(field, value, n, label, scope, candidate_count): over all matches where the query is blank, else over the candidate pools."""
+    from orestrata.operators.retrieval import Settings
+
+    settings = settings or Settings()
+    if not query.strip():
+        counts = exact_facets(searcher.df, filters, fields, settings.bucket_limit).withColumns({"scope": F.lit("all_matches"), "candidate_count": F.lit(None).cast("long")})
+    else:
+        pools = searcher.pools(query, mode, vector_query, filters, settings, fields)
+        counts = pool_facets(pools, settings.bucket_limit).join(candidate_counts(pools, fields), "field").withColumn("scope", F.lit("candidate_pool"))
+    label = F.col("value")
     for f in fields:
-        ids = retrieve(df, filters.without(f)).select("id")
-        own = df.join(ids, "id", "left_semi").select(F.lit(f).alias("field"), F.explode(F.array_distinct(f)).alias("value"))
-        parts.append(own.where(F.col("value").isNotNull()))
-    return _counted(reduce(DataFrame.unionByName, parts), limit)
+        label = F.when(F.col("field") == f, display_label(f, F.col("value"))).otherwise(label)
+    return counts.withColumn("label", label)
+
+
+def document_facets(document: DataFrame, fields=FACETS, most: int = 50) -> DataFrame:
+    """(field, value, n, label, scope, candidate_count) of a single document: its first values, each counted once."""
+    parts = [F.transform(F.slice(F.coalesce(F.col(f), F.array().cast("array<string>")), 1, most), _pair(f)) for f in fields]
+    tall = document.select(F.explode(F.concat(*parts)).alias("x")).select("x.field", "x.value").where(F.col("value").isNotNull())
+    label = F.col("value")
+    for f in fields:
+        label = F.when(F.col("field") == f, display_label(f, F.col("value"))).otherwise(label)
+    return tall.select("field", "value", F.lit(1).cast("long").alias("n"), label.alias("label"), F.lit("candidate_pool").alias("scope"), F.lit(1).cast("long").alias("candidate_count"))
+
+
+#: Fixed value: values of one facet field that a closed vocabulary may hold.
+VOCABULARY_LIMIT = 10_000
 
 
 def vocabulary(df: DataFrame, fields=FACETS) -> DataFrame:
@@ -56,12 +86,23 @@ def vocabulary(df: DataFrame, fields=FACETS) -> DataFrame:
     return df.select(F.explode(F.concat(*parts)).alias("x")).select("x.field", "x.value").where(F.col("value").isNotNull()).distinct()
 
 
-def display_label(field: str, value):
-    """What a facet value is shown as: species capitalized, known sexes by name, else the value."""
-    if field == "organisms":
-        return capitalized(value)
+def checked_vocabulary(df: DataFrame, fields=FACETS, limit: int = VOCABULARY_LIMIT) -> DataFrame:
+    """The vocabulary, an error where a field has more than ``limit`` values."""
+    from orestrata.session import settle
+
+    known = settle(vocabulary(df, fields), "vocabulary")
+    over = [r.field for r in known.groupBy("field").agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()]
+    if over:
+        raise ValueError(f"more than {limit} values in {sorted(over)}")
+    return known
+
+
+def display_label(field: str, value: Column) -> Column:
+    """What a facet value is shown as: species and sexes by name where the identifier is known, else the value."""
+    if field == "organism_ids":
+        return F.coalesce(capitalized(lookup({i: name for name, i in SPECIES.items()}, value)), value)
     if field == "sex_ids":
-        return F.when(value == "PATO:0000383", "female").when(value == "PATO:0000384", "male").when(value == "PATO:0001340", "hermaphrodite").otherwise(value)
+        return F.coalesce(lookup({FEMALE: "female", MALE: "male", HERMAPHRODITE: "hermaphrodite"}, value), value)
     return value
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +12,9 @@ from orestrata.functions.text import all_of, lit_strings
 #: The facet fields in their order.
 FACETS = ("organism_ids", "sex_ids", "assay_categories", "assay_labels")
 
+#: The form of identifiers in requests.
+IDENTIFIERS = {"organism_ids": r"NCBITaxon:[1-9][0-9]*", "sex_ids": r"PATO:[0-9]{7}"}
+
 
 @dataclass(frozen=True)
 class Filters:
@@ -34,6 +38,15 @@ class Filters:
                 out[name] = tidy
         return cls(out)
 
+    @classmethod
+    def of_request(cls, values: dict[str, list[str]] | None) -> "Filters":
+        """As ``of``, with identifiers of the form their field takes."""
+        out = cls.of(values)
+        for name, pattern in IDENTIFIERS.items():
+            if any(not re.fullmatch(pattern, v) for v in out.wanted.get(name, ())):
+                raise ValueError(f"ill-formed identifier for {name!r}")
+        return out
+
     def without(self, name: str) -> "Filters":
         """The same without the condition on one field."""
         return Filters({k: v for k, v in self.wanted.items() if k != name})
@@ -58,3 +71,17 @@ def unknown_values(filters: Filters, vocabulary: DataFrame) -> list[tuple[str, s
 def violations(results: DataFrame, constraints: Filters) -> DataFrame:
     """Per query: results of which a constrained field holds none of the wanted values."""
     return results.groupBy("query_id").agg(F.count_if(~constraints.condition()).alias("n_violations"))
+
+
+def leaks(hits: DataFrame, filters: Filters) -> DataFrame:
+    """Hits that a search with these filters should not have returned."""
+    return hits.where(~filters.condition())
+
+
+def misplaced(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Hits (rank, id, score) that stand after one with a lower score, or with the same score and a larger id."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*(by or [F.lit(1)])).orderBy("rank")
+    score, key = F.lag("score").over(order), F.lag("id").over(order)
+    return hits.withColumns({"__s": score, "__k": key}).where((F.col("__s") < F.col("score")) | ((F.col("__s") == F.col("score")) & (F.col("__k") > F.col("id")))).drop("__s", "__k")

@@ -1,20 +1,22 @@
-"""Ranked retrieval: BM25, exact dense search, reciprocal-rank fusion, and the search facade.
+"""Ranked retrieval: BM25 by scan or from a stored index, exact dense search, reciprocal-rank fusion, candidate pools.
 
-Statistics of the corpus (documents, mean length, document frequency of the
-query's terms) are one aggregated row; it comes to the driver and goes into the
-plan as literals, so scoring is a single scan with a top-k behind it.
+A retrieval is a scoring plan (id, score) over all rows and a top-k behind it.
+Filters never change a score, so one scoring serves a page of hits and the
+candidate pools of every facet field at once: rows carry which conditions they
+meet, and each condition keeps its own best rows.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orestrata.functions.text import SPACE, any_of, tokens
-from orestrata.functions.vectors import cosine, usable
-from orestrata.operators.filters import Filters
+from orestrata.functions.vectors import checked_vector, cosine_scores
+from orestrata.operators.filters import FACETS, Filters
 from orestrata.session import spread
 
 K1, B = 1.2, 0.75
@@ -35,17 +37,17 @@ class Settings:
     bucket_limit: int = 50
 
     def checked(self) -> "Settings":
-        if self.topk < 1 or self.deep < self.topk or self.k0 < 1:
-            raise ValueError("topk, deep or k0 out of bounds")
+        if self.topk < 1 or self.deep < self.topk or self.k0 < 1 or self.facet_pool < 1 or self.bucket_limit < 1:
+            raise ValueError("topk, deep, k0, facet_pool or bucket_limit out of bounds")
         return self
 
 
 def query_terms(query: str) -> list[str]:
-    import re
-
     return list(dict.fromkeys(t for t in re.split(r"[^\w]+|_", query.lower()) if t))
 
 
+# --- scoring by scan --------------------------------------------------------------------------------------------------
+
 _LETTER = r"[\p{L}\p{N}]"
 
 
@@ -55,91 +57,163 @@ def _frequency(text: Column, term: str) -> Column:
     return F.when(F.contains(text, F.lit(term)), F.regexp_count(text, F.lit(pattern))).otherwise(F.lit(0))
 
 
-def corpus_stats(df: DataFrame, text: Column, query: str) -> dict:
-    """Texts with a word, their mean length, and of each term of the query how many texts hold it."""
+def _length(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"{_LETTER}+"))
+
+
+def _idf(n: int, df: int) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _saturated(tf: Column, dl: Column, avgdl: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(avgdl))))
+
+
+def corpus_stats(df: DataFrame, texts: dict[str, Column], query: str) -> dict[str, dict]:
+    """Of each text: rows with a word, their mean length, and of each term of the query how many rows hold it. One aggregate over one scan."""
     terms = query_terms(query)
-    low = df.select(F.lower(F.coalesce(text, F.lit(""))).alias("__low"))
-    counted = low.select(F.regexp_count("__low", F.lit(f"{_LETTER}+")).alias("dl"), *[(_frequency(F.col("__low"), t) > 0).cast("int").alias(f"d{i}") for i, t in enumerate(terms)]).where("dl > 0")
-    return counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(f"d{i}").alias(f"d{i}") for i in range(len(terms))]).first().asDict()
+    low = df.select(*[F.lower(F.coalesce(t, F.lit(""))).alias(f"t{i}") for i, t in enumerate(texts.values())])
+    sums = []
+    for i in range(len(texts)):
+        dl = _length(F.col(f"t{i}"))
+        sums += [F.count_if(dl > 0).alias(f"n{i}"), F.sum(dl).alias(f"l{i}"), *[F.count_if(_frequency(F.col(f"t{i}"), t) > 0).alias(f"d{i}_{j}") for j, t in enumerate(terms)]]
+    row = low.agg(*sums).first()
+    return {name: {"n": row[f"n{i}"], "avgdl": (row[f"l{i}"] or 0) / max(1, row[f"n{i}"]) or 1.0, "df": {t: row[f"d{i}_{j}"] for j, t in enumerate(terms)}} for i, name in enumerate(texts)}
 
 
-def bm25_scores(df: DataFrame, text: Column, query: str, condition: Column | None = None, stats: dict | None = None) -> DataFrame:
-    """``df`` with ``score`` for the rows that hold a term of the query.
+def scan_scores(df: DataFrame, texts: dict[str, Column], query: str, keep: list[str], boosts: dict[str, float] | None = None, stats: dict | None = None) -> DataFrame:
+    """The columns ``keep`` and ``score`` of the rows that hold a term of the query: the largest boosted BM25 of any text.
 
-    Conditions restrict what is scored, never the statistics, which several
-    retrievals of one query may share. A blank query scores every row 1.
+    One scan for the statistics and one for all scores. A blank query scores every row 1.
     """
-    terms = query_terms(query)
+    terms, boosts = query_terms(query), boosts or {}
     if not terms:
-        out = df.withColumn("score", F.lit(1.0))
-        return out.where(condition) if condition is not None else out
-    stats = stats or corpus_stats(df, text, query)
-    n, avgdl = stats["n"], stats["avgdl"] or 1.0
-    low = df.withColumn("__low", F.lower(F.coalesce(text, F.lit(""))))
-    scored = low.where(condition) if condition is not None else low
-    scored = scored.where(any_of([F.contains("__low", F.lit(t)) for t in terms]))
-    for i, t in enumerate(terms):
-        scored = scored.withColumn(f"__tf{i}", _frequency(F.col("__low"), t))
-    scored = scored.where(any_of([F.col(f"__tf{i}") > 0 for i in range(len(terms))])).withColumn("__dl", F.regexp_count("__low", F.lit(f"{_LETTER}+")))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        df_i = stats[f"d{i}"] or 0
-        idf = math.log(1 + (n - df_i + 0.5) / (df_i + 0.5))
-        tf = F.col(f"__tf{i}").cast("double")
-        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__dl") / F.lit(float(avgdl))))
-    return scored.withColumn("score", F.round(score, SCORE_DIGITS)).drop("__low", "__dl", *[f"__tf{i}" for i in range(len(terms))])
+        return df.select(*keep, F.lit(1.0).alias("score"))
+    stats = stats or corpus_stats(df, texts, query)
+    names = list(texts)
+    low = df.select(*keep, *[F.lower(F.coalesce(t, F.lit(""))).alias(f"__t{i}") for i, t in enumerate(texts.values())])
+    low = low.where(any_of([F.contains(f"__t{i}", F.lit(t)) for i in range(len(names)) for t in terms]))
+    counted = low.select(*keep, *[x for i in range(len(names)) for x in (
+        _length(F.col(f"__t{i}")).alias(f"__dl{i}"), *[_frequency(F.col(f"__t{i}"), t).alias(f"__tf{i}_{j}") for j, t in enumerate(terms)])])
+    scores = []
+    for i, name in enumerate(names):
+        s, score = stats[name], F.lit(0.0)
+        for j, t in enumerate(terms):
+            score = score + F.lit(_idf(s["n"], s["df"][t])) * _saturated(F.col(f"__tf{i}_{j}").cast("double"), F.col(f"__dl{i}"), s["avgdl"])
+        hit = any_of([F.col(f"__tf{i}_{j}") > 0 for j in range(len(terms))])
+        scores.append(F.when(hit, F.round(score, SCORE_DIGITS) * F.lit(boosts.get(name, 1.0))))
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    return counted.select(*keep, best.alias("score")).where(F.col("score").isNotNull())
+
+
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best (id, score), ties by id."""
+    return scored.select("id", "score").orderBy(F.desc("score"), "id").limit(k)
 
 
 def bm25(df: DataFrame, text: Column, query: str, k: int, filters: Filters = Filters(), stats: dict | None = None) -> DataFrame:
-    """The ``k`` best rows (id, score) over one text, ties by id."""
+    """The ``k`` best rows (id, score) over one text. Conditions restrict what is ranked, never the statistics."""
     narrow = spread(df.select("id", text.alias("__text"), *filters.wanted))
-    scored = bm25_scores(narrow, F.col("__text"), query, filters.condition() if filters.wanted else None, stats)
-    return scored.select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+    return best(filters.apply(scan_scores(narrow, {"text": F.col("__text")}, query, ["id", *filters.wanted], stats=stats)), k)
 
 
 def bm25_fields(df: DataFrame, query: str, k: int, filters: Filters = Filters(), boosts: dict[str, float] | None = None) -> DataFrame:
-    """The ``k`` best rows by the largest boosted score of any field."""
-    if not query_terms(query):
-        return filters.apply(df).select("id", F.lit(1.0).alias("score")).orderBy("id").limit(k)
-    parts, boosts = None, boosts or BOOSTS
-    narrow = spread(df.select("id", *boosts, *filters.wanted))
-    for name, boost in boosts.items():
-        one = bm25_scores(narrow, F.col(name), query, filters.condition() if filters.wanted else None).select("id", (F.col("score") * boost).alias("score"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    """The ``k`` best rows by the largest boosted score of any field, fields scored in one scan."""
+    boosts = boosts or BOOSTS
+    narrow = df.select("id", *boosts, *filters.wanted)
+    narrow = spread(narrow) if query_terms(query) else narrow
+    return best(filters.apply(scan_scores(narrow, {f: F.col(f) for f in boosts}, query, ["id", *filters.wanted], boosts)), k)
+
 
+# --- scoring from a stored index --------------------------------------------------------------------------------------
 
-def postings(df: DataFrame, text: Column) -> DataFrame:
-    """(term, id, tf, dl): the inverted index for repeated queries; write it partitioned or sorted by term."""
-    words = spread(df.select("id", text.alias("text"))).select("id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
-    return words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+class TextIndex:
+    """An inverted index in a folder: postings (field, bucket, term, id, tf, dl), document frequencies and field statistics.
 
+    Postings lie in folders by field and bucket of the term, sorted by term and
+    id, so a query reads the row groups of its own terms only. Hot terms are cut
+    across files by id. An existing folder is refused when building.
+    """
 
-def bm25_postings(index: DataFrame, n_docs: int, avgdl: float, query: str, k: int) -> DataFrame:
-    """The same ranking as ``bm25`` from an index; only the query's terms are read."""
-    hit = index.where(F.col("term").isin(query_terms(query)))
-    df_t = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl))))
-    return hit.join(df_t, "term").groupBy("id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    def __init__(self, spark, path: str) -> None:
+        self.path = path
+        self.postings = spark.read.parquet(f"{path}/postings")
+        self.terms = spark.read.parquet(f"{path}/terms")
+        rows = spark.read.parquet(f"{path}/stats").collect()  # one row a field
+        self.stats = {r.field: {"n": r.n, "avgdl": r.avgdl} for r in rows}
+        self.buckets = rows[0].buckets if rows else 1
+
+    @staticmethod
+    def _bucket(term: Column, buckets: int) -> Column:
+        return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(buckets)).cast("int")
+
+    @classmethod
+    def build(cls, df: DataFrame, texts: dict[str, Column], path: str, buckets: int = 16, files: int | None = None) -> "TextIndex":
+        """Writes the index of ``texts`` over (id, ...) and opens it. Texts without a word have no posting."""
+        spark = df.sparkSession
+        parts = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), tokens(t).alias("words")) for n, t in texts.items()]))
+        words = spread(df.select("id", *{c for c in df.columns if c != "id"})).select("id", parts.alias("p")).select("id", "p.field", "p.words").where(F.size("words") > 0)
+        rows = words.select("field", "id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+        counted = rows.groupBy("field", "term", "id").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
+        placed = counted.withColumn("bucket", cls._bucket(F.col("term"), buckets))
+        order = ["field", "bucket", "term", "id"]
+        ranged = placed.repartitionByRange(files, *order) if files else placed.repartitionByRange(*order)
+        ranged.sortWithinPartitions(*order).write.partitionBy("field", "bucket").mode("errorifexists").parquet(f"{path}/postings")
+        back = spark.read.parquet(f"{path}/postings")
+        back.groupBy("field", "bucket", "term").agg(F.count("*").alias("df")).repartitionByRange(*order[:3]).sortWithinPartitions(*order[:3]).write.partitionBy("field").parquet(f"{path}/terms")
+        lengths = words.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
+        lengths.withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/stats")
+        return cls(spark, path)
+
+    def _of(self, table: DataFrame, fields: list[str], terms: list[str]) -> DataFrame:
+        from zlib import crc32
+
+        buckets = sorted({crc32(t.encode()) % self.buckets for t in terms})
+        return table.where(F.col("field").isin(fields) & F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+    def scores(self, query: str, boosts: dict[str, float]) -> DataFrame:
+        """(id, score) of every document that holds a term of the query: the largest boosted score of any field."""
+        terms, fields = query_terms(query), list(boosts)
+        # At most terms * fields rows.
+        known = self._of(self.terms, fields, terms).select("field", "term", "df").collect() if terms else []
+        pairs = [x for r in known for x in (F.lit(f"{r.field} {r.term}"), F.lit(_idf(self.stats[r.field]["n"], r.df)))] or [F.lit(""), F.lit(0.0)]
+        hits = self._of(self.postings, fields, terms)
+        idf = F.create_map(*pairs)[F.concat_ws(" ", F.col("field").cast("string"), "term")]
+        parts = []
+        for f in fields:
+            part = idf * _saturated(F.col("tf").cast("double"), F.col("dl"), self.stats.get(f, {}).get("avgdl") or 1.0)
+            parts.append(F.sum(F.when(F.col("field") == f, part)).alias(f"s_{f}"))
+        summed = hits.groupBy("id").agg(*parts)
+        scores = [F.round(F.col(f"s_{f}"), SCORE_DIGITS) * F.lit(boosts[f]) for f in fields]
+        return summed.select("id", (F.greatest(*scores) if len(scores) > 1 else scores[0]).alias("score"))
+
+
+# --- dense search and fusion ------------------------------------------------------------------------------------------
+
+def dense_scores(df: DataFrame, vector: str, query: list[float], keep: list[str]) -> DataFrame:
+    """``keep`` and ``score``, the rounded cosine, of every row with a usable vector."""
+    return cosine_scores(df, vector, query, keep).withColumn("score", F.round("score", SCORE_DIGITS))
 
 
 def dense(df: DataFrame, vector: str, query: list[float], k: int, filters: Filters = Filters()) -> DataFrame:
     """The ``k`` rows (id, score) of the largest cosine, conditions applied before; unusable vectors are left out."""
-    fit = filters.apply(spread(df.select("id", vector, *filters.wanted)).where(usable(F.col(vector), len(query))))
-    return fit.select("id", F.round(cosine(F.col(vector), query), SCORE_DIGITS).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    fit = filters.apply(df.select("id", vector, *filters.wanted))
+    return best(dense_scores(fit, vector, query, ["id"]), k)
 
 
-def lookup_vector(df: DataFrame, vector: str, id_value: int) -> list[float]:
-    """One stored vector as a query."""
-    row = df.where(F.col("id") == id_value).select(vector).first()
-    return [float(x) for x in row[0]]
+def _ranked(hits: DataFrame, source: str, tie: str, depth: int, by: list[str]) -> DataFrame:
+    order = [F.desc("score")] if tie == "rank" else [F.desc("score"), F.col("id")]
+    window = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
+    place = (F.rank() if tie == "rank" else F.row_number()).over(window)
+    return hits.withColumn("rk", place).where(F.col("rk") <= depth).select(*by, "id", F.lit(source).alias("src"), "rk")
 
 
-def _ranked(hits: DataFrame, source: str, tie: str, depth: int) -> DataFrame:
-    order = [F.desc("score")] if tie == "rank" else [F.desc("score"), F.col("id")]
-    place = (F.rank() if tie == "rank" else F.row_number()).over(Window.orderBy(*order))
-    return hits.withColumn("rk", place).where(F.col("rk") <= depth).select("id", F.lit(source).alias("src"), "rk")
+def _fused(sparse: DataFrame, thick: DataFrame, k0: int, tie: str, depth: int, by: list[str]) -> DataFrame:
+    both = _ranked(sparse, "bm25", tie, depth, by).unionByName(_ranked(thick, "dense", tie, depth, by))
+    return both.groupBy(*by, "id").agg(
+        F.sum(F.lit(1.0) / (k0 + F.col("rk"))).alias("score"),
+        F.max(F.when(F.col("src") == "bm25", F.col("rk"))).alias("bm25_rank"),
+        F.max(F.when(F.col("src") == "dense", F.col("rk"))).alias("dense_rank"))
 
 
 def fuse(sparse: DataFrame, thick: DataFrame, k: int, k0: int = 60, tie: str = "row_number", depth: int = 200) -> DataFrame:
@@ -148,39 +222,104 @@ def fuse(sparse: DataFrame, thick: DataFrame, k: int, k0: int = 60, tie: str = "
     With ``tie="rank"`` equal scores share a rank, else the id decides. Both
     lists are at most ``depth`` long, so the unpartitioned windows are small.
     """
-    both = _ranked(sparse, "bm25", tie, depth).unionByName(_ranked(thick, "dense", tie, depth))
-    return (
-        both.groupBy("id").agg(
-            F.sum(F.lit(1.0) / (k0 + F.col("rk"))).alias("score"),
-            F.max(F.when(F.col("src") == "bm25", F.col("rk"))).alias("bm25_rank"),
-            F.max(F.when(F.col("src") == "dense", F.col("rk"))).alias("dense_rank"))
-        .orderBy(F.desc("score"), "id").limit(k))
-
-
-def hydrate(hits: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns of the hit rows; the hits are at most a page, so they are what is broadcast."""
-    return df.select("id", *columns).join(F.broadcast(hits), "id")
-
-
-def search(df: DataFrame, query: str, mode: str, vector_query: list[float] | None = None, filters: Filters = Filters(), settings: Settings = Settings()) -> DataFrame:
-    """Hits (id, score) of one query in the mode ``bm25``, ``dense`` or ``hybrid``."""
-    settings.checked()
-    if mode not in ("bm25", "dense", "hybrid"):
-        raise ValueError(f"no mode {mode!r}")
-    if mode != "bm25" and (not query.strip() or not vector_query):
-        raise ValueError("dense and hybrid need a query and its vector")
-    if mode == "bm25":
-        return bm25_fields(df, query, settings.topk, filters)
-    if mode == "dense":
-        return dense(df, "embedding", vector_query, settings.topk, filters)
-    sparse = bm25_fields(df, query, settings.deep, filters)
-    thick = dense(df, "embedding", vector_query, settings.deep, filters)
-    return fuse(sparse, thick, settings.topk, settings.k0, depth=settings.deep).select("id", "score")
+    return _fused(sparse, thick, k0, tie, depth, []).orderBy(F.desc("score"), "id").limit(k)
+
+
+def hydrate(hits: DataFrame, df: DataFrame, columns: list[str], key: str = "id", page: int | None = None) -> DataFrame:
+    """The hits with columns of their rows. A hit without a row or with two is an error when the result is read.
+
+    ``page`` states how many hits there can be; the cut makes it certain, and so
+    many keys are sent to the rows. Without it the tables are joined as any two.
+    """
+    hits = hits.limit(page) if page is not None else hits
+    keys = hits.select(key).distinct()
+    rows = df.join(F.broadcast(keys) if page is not None else keys, key, "left_semi")
+    rows = rows.groupBy(key).agg(F.count("*").alias("__n"), F.first(F.struct(*columns)).alias("__row"))
+    joined = hits.join(rows, key, "left")
+    wrong = F.raise_error(F.concat(F.lit("documents changed while they were read: "), F.col(key).cast("string"))).cast("boolean")
+    return joined.where(F.when(F.coalesce("__n", F.lit(0)) == 1, True).otherwise(wrong)).select(*hits.columns, *[F.col(f"__row.{c}").alias(c) for c in columns])
+
+
+# --- the searcher -----------------------------------------------------------------------------------------------------
+
+class Searcher:
+    """Retrieval over one table of documents: by an index where one is given, else by scan.
+
+    ``boosts`` names the text fields that are scored; ``vector`` the column of
+    embeddings. Facet fields are read from the table.
+    """
+
+    def __init__(self, df: DataFrame, boosts: dict[str, float] | None = None, vector: str = "embedding", index: TextIndex | None = None) -> None:
+        self.df, self.boosts, self.vector, self.index = df, boosts or BOOSTS, vector, index
+
+    def _checked(self, query: str, mode: str, vector_query, settings: Settings) -> list[float] | None:
+        settings.checked()
+        if mode not in ("bm25", "dense", "hybrid"):
+            raise ValueError(f"no mode {mode!r}")
+        if mode != "bm25" and (not query.strip() or vector_query is None):
+            raise ValueError("dense and hybrid need a query and its vector")
+        return None if mode == "bm25" else checked_vector(vector_query)
+
+    def _sparse(self, query: str, keep: list[str]) -> DataFrame:
+        """(id, keep, score) of all rows with a term; of all rows where the query is blank."""
+        if self.index is None or not query_terms(query):
+            texts = list(self.boosts) if query_terms(query) else []
+            narrow = self.df.select("id", *dict.fromkeys([*texts, *keep]))
+            return scan_scores(spread(narrow) if texts else narrow, {f: F.col(f) for f in texts}, query, ["id", *keep], self.boosts)
+        scored = self.index.scores(query, self.boosts)
+        return scored.join(self.df.select("id", *keep), "id") if keep else scored
+
+    def hits(self, query: str, mode: str = "hybrid", vector_query=None, filters: Filters = Filters(), settings: Settings = Settings(), tie: str = "row_number") -> DataFrame:
+        """(id, score) of the best ``topk``; in the mode ``hybrid`` also both ranks."""
+        q = self._checked(query, mode, vector_query, settings)
+        keep = list(filters.wanted)
+        if mode == "bm25":
+            return best(filters.apply(self._sparse(query, keep)), settings.topk)
+        if mode == "dense":
+            return dense(self.df, self.vector, q, settings.topk, filters)
+        sparse = best(filters.apply(self._sparse(query, keep)), settings.deep)
+        return fuse(sparse, dense(self.df, self.vector, q, settings.deep, filters), settings.topk, settings.k0, tie, settings.deep)
+
+    def pools(self, query: str, mode: str = "bm25", vector_query=None, filters: Filters = Filters(), settings: Settings = Settings(), fields=FACETS) -> DataFrame:
+        """(field, id, values): per facet field the ``facet_pool`` best rows without the field's own condition, with its values.
+
+        Fields whose conditions agree share a pool. Every row is scored once; it
+        goes to each pool whose conditions it meets, and a pool's best are kept
+        before they are shuffled.
+        """
+        q = self._checked(query, mode, vector_query, settings)
+        pools: dict[tuple, list[str]] = {}
+        for f in fields:
+            pools.setdefault(tuple(sorted(filters.without(f).wanted.items())), []).append(f)
+        own = list(pools.values())
+        meets = F.array_compact(F.array(*[F.when(Filters(dict(c)).condition(), F.lit(i)) for i, c in enumerate(pools)]))
+        facets = list(dict.fromkeys([*fields, *filters.wanted]))
+        deep = max(settings.deep, settings.facet_pool)
+
+        def dealt(scored: DataFrame) -> DataFrame:
+            return scored.select("id", "score", F.explode(meets).alias("pool"), *fields)
+
+        def top(scored: DataFrame, depth: int) -> DataFrame:
+            place = F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("score"), "id"))
+            return scored.withColumn("__rk", place).where(F.col("__rk") <= depth).drop("__rk")
+
+        if mode == "bm25":
+            pool = top(dealt(self._sparse(query, facets)), settings.facet_pool)
+        elif mode == "dense":
+            pool = top(dealt(dense_scores(self.df, self.vector, q, ["id", *facets])), settings.facet_pool)
+        else:
+            sparse, thick = top(dealt(self._sparse(query, facets)), deep), top(dealt(dense_scores(self.df, self.vector, q, ["id", *facets])), deep)
+            ranked = [h.withColumn("rk", F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("score"), "id"))) for h in (sparse, thick)]
+            both = ranked[0].unionByName(ranked[1])
+            fused = both.groupBy("pool", "id").agg(F.sum(F.lit(1.0) / (settings.k0 + F.col("rk"))).alias("score"), *[F.first(f).alias(f) for f in fields])
+            pool = top(fused, settings.facet_pool)
+        values = F.array(*[F.struct(F.lit(i).alias("pool"), F.lit(f).alias("field"), F.col(f).alias("values")) for i, group in enumerate(own) for f in group])
+        return pool.select("id", F.explode(F.filter(values, lambda v: v["pool"] == F.col("pool"))).alias("v")).select("v.field", "id", "v.values")
 
 
 def grep(df: DataFrame, key: str, text: str, needle: str, keys: int = 10, per_key: int = 2) -> DataFrame:
     """(key, line_no, line): case-insensitive literal matches, the first lines of each of the first keys in key order."""
-    lines = df.select(F.col(key).alias("key"), F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
+    lines = df.where(F.contains(F.lower(text), F.lit(needle.lower()))).select(F.col(key).alias("key"), F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
     hits = lines.where(F.contains(F.lower("line"), F.lit(needle.lower())))
     first = hits.select("key").distinct().orderBy("key").limit(keys)
     order = Window.partitionBy("key").orderBy("line_no")
@@ -189,8 +328,6 @@ def grep(df: DataFrame, key: str, text: str, needle: str, keys: int = 10, per_ke
 
 def normalized_query(query: str, longest: int = 1000) -> str:
     """A query stripped and with single spaces; an error if blank or too long."""
-    import re
-
     tidy = re.sub(SPACE.removeprefix("(?U)"), " ", query).strip()
     if not tidy or len(tidy) > longest:
         raise ValueError("query is blank or too long")

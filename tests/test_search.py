@@ -20,6 +20,9 @@ ROWS = [
 ]
 
 
+BOOSTS = {"title": 3.0, "summary": 2.0}
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(ROWS, SCHEMA).cache()
@@ -31,6 +34,13 @@ def test_or_within_and_across(docs):
     assert Filters().apply(docs).count() == 5
 
 
+def test_request_identifiers():
+    assert Filters.of_request({"organism_ids": ["NCBITaxon:9606"]}).wanted
+    for bad in ({"organism_ids": ["NCBITaxon:09"]}, {"sex_ids": ["PATO:38"]}):
+        with pytest.raises(ValueError):
+            Filters.of_request(bad)
+
+
 @pytest.mark.parametrize("bad", [{"nope": ["x"]}, {"sex_ids": [" "]}, {"sex_ids": ["x" * 300]}, {"sex_ids": [str(i) for i in range(30)]}])
 def test_bad_filters(bad):
     with pytest.raises(ValueError):
@@ -49,7 +59,21 @@ def test_own_filter_is_left_out(docs):
 
 
 def test_empty_pool_has_no_buckets(docs):
-    assert FC.pool_facets(docs, Filters(), lambda d, f: d.where("false")).count() == 0
+    pools = R.Searcher(docs, BOOSTS).pools("absentword", "bm25")
+    assert FC.pool_facets(pools).count() == 0
+    assert {r.candidate_count for r in FC.candidate_counts(pools).collect()} == {0}
+
+
+def test_each_pool_leaves_its_own_filter_out(docs):
+    filters = Filters.of({"sex_ids": ["f"], "assay_categories": ["seq"]})
+    for mode in ("bm25", "dense", "hybrid"):
+        pools = R.Searcher(docs, BOOSTS).pools("cells", mode, [1.0, 0.0], filters, R.Settings(topk=1, deep=1, facet_pool=2))
+        got = {}
+        for r in pools.collect():
+            got.setdefault(r.field, set()).add(r.id)
+        for f, ids in got.items():
+            one = {r.id for r in R.Searcher(docs, BOOSTS).hits("cells", mode, [1.0, 0.0], filters.without(f), R.Settings(topk=2, deep=2)).collect()}
+            assert ids == one, (mode, f)
 
 
 def test_vocabulary_check(docs):
@@ -70,13 +94,23 @@ def test_statistics_ignore_filters(docs):
     assert set(kept) == {2, 4} and all(kept[i] == pytest.approx(free[i]) for i in kept)
 
 
-def test_index_gives_the_same_scores(docs):
-    text = surface(["title", "summary"])
-    index = R.postings(docs, text)
-    stats = index.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("a")).first()
-    one = {r.id: r.score for r in R.bm25(docs, text, "immune cells", 9).collect()}
-    two = {r.id: r.score for r in R.bm25_postings(index, stats["n"], stats["a"], "immune cells", 9).collect()}
-    assert one.keys() == two.keys() and all(one[i] == pytest.approx(two[i]) for i in one)
+def test_index_gives_the_same_scores(spark, docs, tmp_path):
+    index = R.TextIndex.build(docs.select("id", *BOOSTS), {f: F.col(f) for f in BOOSTS}, str(tmp_path / "index"), buckets=3)
+    for query in ("immune cells", "CHROMATIN mouse cells", "absentword", "  "):
+        one = {r.id: r.score for r in R.bm25_fields(docs, query, 9, boosts=BOOSTS).collect()}
+        two = {r.id: r.score for r in R.Searcher(docs, BOOSTS, index=index).hits(query, "bm25").collect()}
+        assert one.keys() == two.keys() and all(one[i] == pytest.approx(two[i]) for i in one)
+    again = R.TextIndex(spark, str(tmp_path / "index"))
+    assert again.scores("immune", BOOSTS).count() == 2
+    with pytest.raises(Exception):
+        R.TextIndex.build(docs.select("id", *BOOSTS), {f: F.col(f) for f in BOOSTS}, str(tmp_path / "index"))
+
+
+def test_a_missing_document_is_an_error(spark, docs):
+    hits = spark.createDataFrame([(1,), (99,)], "id long")
+    with pytest.raises(Exception, match="documents changed"):
+        R.hydrate(hits, docs, ["gse"], page=2).collect()
+    assert [r.gse for r in R.hydrate(hits.where("id = 1"), docs, ["gse"]).collect()] == ["GSE10"]
 
 
 def test_dense_leaves_unusable_vectors_out(docs):
@@ -95,11 +129,11 @@ def test_fusion_rank_and_row_number(spark):
 
 
 def test_search_checks_its_input(docs):
-    with pytest.raises(ValueError):
-        R.search(docs, "x", "nope")
-    with pytest.raises(ValueError):
-        R.search(docs, " ", "hybrid", [1.0, 0.0])
-    assert R.search(docs, "immune", "hybrid", [1.0, 0.0], settings=R.Settings(topk=3, deep=5)).first().id == 1
+    search = R.Searcher(docs, BOOSTS)
+    for query, mode, vector in (("x", "nope", None), (" ", "hybrid", [1.0, 0.0]), ("x", "dense", [float("nan"), 1.0]), ("x", "dense", [[1.0]])):
+        with pytest.raises(ValueError):
+            search.hits(query, mode, vector)
+    assert search.hits("immune", "hybrid", [1.0, 0.0], settings=R.Settings(topk=3, deep=5)).first().id == 1
 
 
 def test_empty_tables(docs):
