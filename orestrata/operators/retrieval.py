@@ -48,17 +48,20 @@ def query_terms(query: str) -> list[str]:
 
 # --- scoring by scan --------------------------------------------------------------------------------------------------
 
-_LETTER = r"[\p{L}\p{N}]"
+def _spaced(text: Column) -> Column:
+    """Lower-cased words of letters and digits, each between two blanks of its own, so that words are counted by plain search."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
 
 
-def _frequency(text: Column, term: str) -> Column:
-    """How often a word stands in lower-cased text; rows without its letters skip the pattern."""
-    pattern = rf"(?<!{_LETTER})\Q{term}\E(?!{_LETTER})"
-    return F.when(F.contains(text, F.lit(term)), F.regexp_count(text, F.lit(pattern))).otherwise(F.lit(0))
+def _frequency(spaced: Column, term: str) -> Column:
+    """How often a word stands in spaced text."""
+    return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)).cast("int")
 
 
-def _length(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"{_LETTER}+"))
+def _length(spaced: Column) -> Column:
+    """Words of a spaced text: gaps of two blanks, less those at an end that no word follows or precedes."""
+    inner = F.trim(spaced)
+    return F.when(inner == "", 0).otherwise(((F.length(inner) - F.length(F.replace(inner, F.lit("  "), F.lit("")))) / 2).cast("int") + 1)
 
 
 def _idf(n: int, df: int) -> float:
@@ -72,11 +75,11 @@ def _saturated(tf: Column, dl: Column, avgdl: float) -> Column:
 def corpus_stats(df: DataFrame, texts: dict[str, Column], query: str) -> dict[str, dict]:
     """Of each text: rows with a word, their mean length, and of each term of the query how many rows hold it. One aggregate over one scan."""
     terms = query_terms(query)
-    low = df.select(*[F.lower(F.coalesce(t, F.lit(""))).alias(f"t{i}") for i, t in enumerate(texts.values())])
+    spaced = df.select(*[_spaced(t).alias(f"t{i}") for i, t in enumerate(texts.values())])
+    low = spaced.select(*[x for i in range(len(texts)) for x in (_length(F.col(f"t{i}")).alias(f"l{i}"), *[F.contains(f"t{i}", F.lit(f" {t} ")).alias(f"d{i}_{j}") for j, t in enumerate(terms)])])
     sums = []
     for i in range(len(texts)):
-        dl = _length(F.col(f"t{i}"))
-        sums += [F.count_if(dl > 0).alias(f"n{i}"), F.sum(dl).alias(f"l{i}"), *[F.count_if(_frequency(F.col(f"t{i}"), t) > 0).alias(f"d{i}_{j}") for j, t in enumerate(terms)]]
+        sums += [F.count_if(F.col(f"l{i}") > 0).alias(f"n{i}"), F.sum(f"l{i}").alias(f"l{i}"), *[F.count_if(f"d{i}_{j}").alias(f"d{i}_{j}") for j in range(len(terms))]]
     row = low.agg(*sums).first()
     return {name: {"n": row[f"n{i}"], "avgdl": (row[f"l{i}"] or 0) / max(1, row[f"n{i}"]) or 1.0, "df": {t: row[f"d{i}_{j}"] for j, t in enumerate(terms)}} for i, name in enumerate(texts)}
 
@@ -91,8 +94,8 @@ def scan_scores(df: DataFrame, texts: dict[str, Column], query: str, keep: list[
         return df.select(*keep, F.lit(1.0).alias("score"))
     stats = stats or corpus_stats(df, texts, query)
     names = list(texts)
-    low = df.select(*keep, *[F.lower(F.coalesce(t, F.lit(""))).alias(f"__t{i}") for i, t in enumerate(texts.values())])
-    low = low.where(any_of([F.contains(f"__t{i}", F.lit(t)) for i in range(len(names)) for t in terms]))
+    near = df.where(any_of([F.contains(F.lower(t), F.lit(w)) for t in texts.values() for w in terms]))
+    low = near.select(*keep, *[_spaced(t).alias(f"__t{i}") for i, t in enumerate(texts.values())])
     counted = low.select(*keep, *[x for i in range(len(names)) for x in (
         _length(F.col(f"__t{i}")).alias(f"__dl{i}"), *[_frequency(F.col(f"__t{i}"), t).alias(f"__tf{i}_{j}") for j, t in enumerate(terms)])])
     scores = []
@@ -102,8 +105,9 @@ def scan_scores(df: DataFrame, texts: dict[str, Column], query: str, keep: list[
             score = score + F.lit(_idf(s["n"], s["df"][t])) * _saturated(F.col(f"__tf{i}_{j}").cast("double"), F.col(f"__dl{i}"), s["avgdl"])
         hit = any_of([F.col(f"__tf{i}_{j}") > 0 for j in range(len(terms))])
         scores.append(F.when(hit, F.round(score, SCORE_DIGITS) * F.lit(boosts.get(name, 1.0))))
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return counted.select(*keep, best.alias("score")).where(F.col("score").isNotNull())
+    best_ = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    # A generator drops the rows without a hit where a filter would be pushed down and count all words twice.
+    return counted.select(*keep, F.explode(F.when(best_.isNotNull(), F.array(best_))).alias("score"))
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
@@ -142,6 +146,7 @@ class TextIndex:
         rows = spark.read.parquet(f"{path}/stats").collect()  # one row a field
         self.stats = {r.field: {"n": r.n, "avgdl": r.avgdl} for r in rows}
         self.buckets = rows[0].buckets if rows else 1
+        self._known: dict[tuple[str, str], int] = {}
 
     @staticmethod
     def _bucket(term: Column, buckets: int) -> Column:
@@ -171,12 +176,21 @@ class TextIndex:
         buckets = sorted({crc32(t.encode()) % self.buckets for t in terms})
         return table.where(F.col("field").isin(fields) & F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
+    def _frequencies(self, fields: list[str], terms: list[str]) -> dict[tuple[str, str], int]:
+        """Document frequencies of a query's terms; an index never changes, so what was read once stays known."""
+        wanted = {(f, t) for f in fields for t in terms}
+        if wanted - self._known.keys():
+            if len(self._known) > 100_000:
+                self._known.clear()
+            self._known.update(dict.fromkeys(wanted, 0))
+            self._known.update({(r.field, r.term): r.df for r in self._of(self.terms, fields, terms).select("field", "term", "df").collect()})
+        return {k: self._known[k] for k in wanted if self._known[k]}
+
     def scores(self, query: str, boosts: dict[str, float]) -> DataFrame:
         """(id, score) of every document that holds a term of the query: the largest boosted score of any field."""
         terms, fields = query_terms(query), list(boosts)
-        # At most terms * fields rows.
-        known = self._of(self.terms, fields, terms).select("field", "term", "df").collect() if terms else []
-        pairs = [x for r in known for x in (F.lit(f"{r.field} {r.term}"), F.lit(_idf(self.stats[r.field]["n"], r.df)))] or [F.lit(""), F.lit(0.0)]
+        known = self._frequencies(fields, terms)
+        pairs = [x for (f, t), n in known.items() for x in (F.lit(f"{f} {t}"), F.lit(_idf(self.stats[f]["n"], n)))] or [F.lit(""), F.lit(0.0)]
         hits = self._of(self.postings, fields, terms)
         idf = F.create_map(*pairs)[F.concat_ws(" ", F.col("field").cast("string"), "term")]
         parts = []
@@ -228,12 +242,16 @@ def fuse(sparse: DataFrame, thick: DataFrame, k: int, k0: int = 60, tie: str = "
 def hydrate(hits: DataFrame, df: DataFrame, columns: list[str], key: str = "id", page: int | None = None) -> DataFrame:
     """The hits with columns of their rows. A hit without a row or with two is an error when the result is read.
 
-    ``page`` states how many hits there can be; the cut makes it certain, and so
-    many keys are sent to the rows. Without it the tables are joined as any two.
+    ``page`` states how many hits there can be: so many are read first, and
+    their keys go into the scan of the rows, which prunes by them. Without it the
+    tables are joined as any two.
     """
-    hits = hits.limit(page) if page is not None else hits
-    keys = hits.select(key).distinct()
-    rows = df.join(F.broadcast(keys) if page is not None else keys, key, "left_semi")
+    if page is not None:
+        few = hits.limit(page).toArrow()
+        hits = df.sparkSession.createDataFrame(few, hits.schema) if few.num_rows else df.sparkSession.createDataFrame([], hits.schema)
+        rows = df.where(F.col(key).isin(list(dict.fromkeys(few.column(key).to_pylist()))))
+    else:
+        rows = df.join(hits.select(key).distinct(), key, "left_semi")
     rows = rows.groupBy(key).agg(F.count("*").alias("__n"), F.first(F.struct(*columns)).alias("__row"))
     joined = hits.join(rows, key, "left")
     wrong = F.raise_error(F.concat(F.lit("documents changed while they were read: "), F.col(key).cast("string"))).cast("boolean")

@@ -271,9 +271,10 @@ def study_urls(spark, sf_dir):
 
 # --- the facade
 
-def _engine(spark, sf_dir, rerank=None, vocabulary=None) -> FA.SearchEngine:
+def _engine(spark, sf_dir, rerank=None, vocabulary=None, index=True) -> FA.SearchEngine:
     vector = _vector(spark, sf_dir)
-    return FA.SearchEngine(_searcher(spark, sf_dir), table(spark, sf_dir, "gse_catalog"), lambda q: vector, rerank, vocabulary, R.Settings(deep=200))
+    searcher = _searcher(spark, sf_dir) if index else R.Searcher(_series(spark, sf_dir))
+    return FA.SearchEngine(searcher, table(spark, sf_dir, "gse_catalog"), lambda q: vector, rerank, vocabulary, R.Settings(deep=200))
 
 
 def unified_search(spark, sf_dir):
@@ -323,14 +324,15 @@ def facet_browse(spark, sf_dir):
 
 
 def _accessions(spark, sf_dir) -> list[str]:
-    """An accession the table has, one only the catalog has, one neither has."""
+    """An accession the table has, one only the catalog has if there is any, one neither has."""
     series, catalog = _series(spark, sf_dir), C.native_candidates(table(spark, sf_dir, "gse_catalog"))
-    return [series.agg(F.max("gse")).first()[0], catalog.select("gse").join(series.select("gse"), "gse", "left_anti").agg(F.min("gse")).first()[0] or "GSE1", "GSE999999999"]
+    only = catalog.select("gse").join(series.select("gse"), "gse", "left_anti").agg(F.min("gse")).first()[0]
+    return [a for a in (series.agg(F.max("gse")).first()[0], only, "GSE999999999") if a is not None]
 
 
 def exact_search(spark, sf_dir):
     """Requests by accession: from the own table, else from the catalog, else nothing."""
-    engine, rows = _engine(spark, sf_dir), []
+    engine, rows = _engine(spark, sf_dir, index=False), []
     for a in _accessions(spark, sf_dir):
         done = engine.search_datasets(a.lower())
         first = done.results[0] if done.results else {}
@@ -341,7 +343,7 @@ def exact_search(spark, sf_dir):
 def dataset_detail(spark, sf_dir):
     """One dataset in full, for the accession with the longest summary."""
     key = _series(spark, sf_dir).agg(F.max_by("gse", F.struct(F.length("summary"), "gse"))).first()[0]
-    d = _engine(spark, sf_dir).get_dataset(key)
+    d = _engine(spark, sf_dir, index=False).get_dataset(key)
     return d.select("gse", "title", F.md5("summary").alias("summary"), F.length("overall_design").alias("design_chars"), "pubmed_id", "geo_url", "pubmed_url", F.array_join("truncated_fields", "|").alias("truncated_fields"))
 
 
