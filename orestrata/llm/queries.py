@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from orestrata.llm.canonical import map_series
 from orestrata.llm.mixing import mix
@@ -51,30 +51,27 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.countDistinct("id").alias("n_series"), F.countDistinct(F.when(~missed, F.col("term_id"))).alias("n_terms"), F.count_if(missed).alias("n_unmatched"))
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = split_long(table(spark, sf_dir, "series"), ["gse"], "search_text").withColumn("field", F.lit("search_text"))
-    two = split_long(table(spark, sf_dir, "record_ref"), ["gse"], "embed_text").withColumn("field", F.lit("embed_text"))
-    return one.unionByName(two)
+#: Fields that hold texts to be cut, and their tables.
+LONG_FIELDS = {"search_text": "series", "embed_text": "record_ref"}
+LIMIT, OVERLAP = 4000, 200
 
 
-#: A stretch of more than 4,000 characters without white space and without a sentence mark.
-_HARD = r"(?U)[^\s.!?。！？．]{4001}"
+def _pieces(spark: SparkSession, sf_dir: str, least: int = 0) -> DataFrame:
+    """Pieces of both fields, of texts above ``least`` characters."""
+    out = None
+    for field, name in LONG_FIELDS.items():
+        source = table(spark, sf_dir, name).select("gse", field)
+        source = source.where(F.length(field) > least) if least else source
+        one = split_long(source, ["gse"], field, LIMIT, OVERLAP).withColumn("field", F.lit(field))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts above the limit, and those among them with a stretch that has no natural boundary."""
-    out = None
-    for name, column in (("series", "search_text"), ("record_ref", "embed_text")):
-        source = table(spark, sf_dir, name)
-        cut = split_long(source.where(F.length(column) > 4000), ["gse"], column)
-        per_text = cut.groupBy("gse").agg(F.max("piece_no").alias("pieces"), F.max((F.col("cut") == "character").cast("int")).alias("torn"))
-        over = per_text.where("pieces > 1").select(F.lit(column).alias("field"), "gse", F.lit("over").alias("kind"))
-        # A text with such a stretch is torn between characters somewhere in it; the pattern confirms it.
-        torn = source.select("gse", column).where(F.length(column) > 4000).join(per_text.where("torn = 1").select("gse"), "gse", "left_semi")
-        hard = torn.where(F.col(column).rlike(_HARD)).select(F.lit(column).alias("field"), "gse", F.lit("hard").alias("kind"))
-        both = over.unionByName(hard)
-        out = both if out is None else out.unionByName(both)
-    return out
+    """Texts that were cut into several pieces, and those among them with an unbroken stretch above the limit."""
+    first = _pieces(spark, sf_dir, LIMIT).where("piece_no = 1 and n_pieces > 1")
+    kinds = F.array_compact(F.array(F.lit("over"), F.when(F.col("unbroken") > LIMIT, F.lit("hard"))))
+    return first.select("field", "gse", F.explode(kinds).alias("kind"))
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +79,18 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).select("field", "gse", "piece_no", "start_pos", "end_pos", "cut", F.length("piece").alias("n_chars"))
 
 
+def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each field: texts, texts in several pieces, characters covered once, pieces out of bounds, pieces that don't join the one before."""
+    p = _pieces(spark, sf_dir).select("field", "gse", "piece_no", "n_pieces", "start_pos", "end_pos", F.length("piece").alias("n_chars"))
+    before = F.lag("end_pos").over(Window.partitionBy("field", "gse").orderBy("piece_no"))
+    p = p.withColumn("expected", F.coalesce(before - OVERLAP, F.lit(0)))
+    return p.groupBy("field").agg(
+        F.count_if(F.col("piece_no") == 1).alias("n_texts"), F.count_if((F.col("piece_no") == 1) & (F.col("n_pieces") > 1)).alias("n_over"),
+        F.sum(F.col("n_chars") - F.when(F.col("piece_no") > 1, OVERLAP).otherwise(0)).alias("n_covered"),
+        F.count_if((F.col("n_chars") > LIMIT) | (F.col("n_chars") != F.col("end_pos") - F.col("start_pos"))).alias("n_bad"),
+        F.count_if(F.col("start_pos") != F.col("expected")).alias("n_gaps"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document for every capacity."""
     sized = with_sizes(table(spark, sf_dir, "documents"), ["doc_id"], "text")
@@ -114,7 +123,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_report, p5_found, p5_pieces, p6_containers, p6_fill, p7_selection, p7_shares, p8_found)}
+    p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_report, p5_found, p5_pieces, p5_coverage, p6_containers, p6_fill, p7_selection, p7_shares, p8_found)}
 #: Equivalents for DuckDB where SQL can express the result on whole tables.
 SQL: dict[str, str] = {
     "p2_found": r"""
@@ -141,4 +150,6 @@ s AS (SELECT field, gse, max(length(p)) AS longest FROM (
   SELECT field, gse, unnest(regexp_split_to_array(x, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.!?。！？．]')) AS p FROM o) GROUP BY field, gse)
 SELECT field, gse, 'over' AS kind FROM o
 UNION ALL SELECT field, gse, 'hard' AS kind FROM s WHERE longest > 4000""",
+    "p5_coverage": """WITH t AS (SELECT 'search_text' AS field, search_text AS x FROM series UNION ALL SELECT 'embed_text', embed_text FROM record_ref)
+SELECT field, count(*) AS n_texts, count(*) FILTER (length(x) > 4000) AS n_over, sum(length(x))::BIGINT AS n_covered, 0::BIGINT AS n_bad, 0::BIGINT AS n_gaps FROM t WHERE length(x) > 0 GROUP BY field""",
 }
