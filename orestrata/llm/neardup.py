@@ -94,9 +94,11 @@ def signatures(batches):
 
 # --- the comparison proper -------------------------------------------------------------------------------------------
 
-def planes_of(prints: list[bytes]) -> np.ndarray:
-    """Fingerprints as vertical planes: ``planes[b]`` holds bit b of all records, 64 to a word."""
-    rows = np.unpackbits(np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(prints), -1), axis=1)
+def planes_of(prints) -> np.ndarray:
+    """Fingerprints (rows of bytes) as vertical planes: ``planes[b]`` holds bit b of all records, 64 to a word."""
+    if not isinstance(prints, np.ndarray):
+        prints = np.frombuffer(b"".join(prints), dtype=np.uint8).reshape(len(prints), -1)
+    rows = np.unpackbits(prints, axis=1)
     pad = -len(prints) % 64
     if pad:
         rows = np.vstack([rows, np.zeros((pad, rows.shape[1]), dtype=np.uint8)])
@@ -179,7 +181,7 @@ def _mask(flags: np.ndarray, n_words: int) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(full, bitorder="little")).view("<u8")
 
 
-def compare_run(keys: np.ndarray, sides: np.ndarray | None, prints: list[bytes], limit: int) -> tuple[np.ndarray, np.ndarray]:
+def compare_run(keys: np.ndarray, sides: np.ndarray | None, prints, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j), i < j, of a key-sorted run that share a key and lie within ``limit``.
 
     With ``sides`` only pairs of different sides count.
@@ -205,17 +207,12 @@ def compare_run(keys: np.ndarray, sides: np.ndarray | None, prints: list[bytes],
 def _compare(limit: int, chunk: int = 16384):
     """Arrow batches (key, side, id, print), sorted by key, to (a, b). A run is flushed at a key change past ``chunk`` rows."""
 
-    def pairs(rows):
-        keys = np.array([r[0] for r in rows], dtype=np.int64)
-        sides = np.array([r[1] for r in rows], dtype=np.int8)
-        ids = np.array([r[2] for r in rows], dtype=np.int64)
-        prints = [r[3] for r in rows]
-        crossed = sides >= 0
+    def pairs(keys, sides, ids, prints):
         for two_sided in (False, True):
-            at = np.flatnonzero(crossed == two_sided)
+            at = np.flatnonzero((sides >= 0) == two_sided)
             if len(at) < 2:
                 continue
-            i, j = compare_run(keys[at], sides[at] if two_sided else None, [prints[x] for x in at], limit)
+            i, j = compare_run(keys[at], sides[at] if two_sided else None, prints[at], limit)
             a, b = ids[at][i], ids[at][j]
             fine = a != b
             lo, hi = np.minimum(a, b)[fine], np.maximum(a, b)[fine]
@@ -224,19 +221,26 @@ def _compare(limit: int, chunk: int = 16384):
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def run(batches):
-        held: list = []
+        held: list[list[np.ndarray]] = []
+        n = 0
+
+        def joined():
+            return [np.concatenate([h[c] for h in held]) for c in range(4)]
+
         for batch in batches:
-            rows = list(zip(*[batch.column(c).to_pylist() for c in range(4)]))
-            held.extend(rows)
-            if len(held) > chunk:
-                last, cut = held[-1][0], len(held)
-                while cut > 0 and held[cut - 1][0] == last:
-                    cut -= 1
-                if cut:
-                    yield from pairs(held[:cut])
-                    held = held[cut:]
+            if not batch.num_rows:
+                continue
+            prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            held.append([np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)), prints])
+            n += batch.num_rows
+            # Only where the last key isn't the first one is there a run to flush.
+            if n > chunk and held[-1][0][-1] != held[0][0][0]:
+                columns = joined()
+                cut = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1
+                yield from pairs(*[c[:cut] for c in columns])
+                held, n = [[c[cut:] for c in columns]], n - cut
         if held:
-            yield from pairs(held)
+            yield from pairs(*joined())
 
     return run
 
@@ -311,13 +315,20 @@ class NearDuplicates:
         return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def groups(self) -> DataFrame:
-        """One row per record: (id, group_id, n_links), the class by transitive links and the links of its representative."""
+        """One row per record: (id, group_id, n_links), its class by transitive links, and of how many records it is a near-duplicate.
+
+        Copies count: each of m copies has m - 1 links to the others and one to
+        every copy of what its representative is linked to, as in ``pairs``, but
+        no pair is written out.
+        """
         settled = settle(self.links.select("a", "b"), "links")
         classes = connected(settled)
-        degree = settled.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-        return (
-            self.members.join(classes.select(F.col("id").alias("rep"), F.col("root")), "rep", "left").join(degree, "rep", "left")
-            .select("id", F.coalesce("root", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+        sizes = self.members.groupBy("rep").agg(F.count("*").alias("m"))
+        both = settled.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(settled.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+        degree = both.join(sizes.select(F.col("rep").alias("other"), "m"), "other").groupBy("rep").agg(F.sum("m").alias("crossed"))
+        known = sizes.join(classes.select(F.col("id").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
+        known = known.select("rep", F.coalesce("root", "rep").alias("group_id"), (F.col("m") - 1 + F.coalesce("crossed", F.lit(0))).alias("n_links"))
+        return self.members.join(known, "rep").select("id", "group_id", "n_links")
 
 
 def connected(links: DataFrame, most_rounds: int = 40) -> DataFrame:

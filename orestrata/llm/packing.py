@@ -22,7 +22,7 @@ GROUP_CONTAINERS = 2000
 MOST_CAPACITIES = 100
 
 
-def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
+def pack_sizes(sizes: np.ndarray, capacity: int, pour: bool = True) -> np.ndarray:
     """Container number (from 0) of every item, none above the capacity, in order of arrival."""
     counts = np.zeros(capacity + 1, dtype=np.int64)
     open_at: dict[int, list[int]] = {}
@@ -65,7 +65,7 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
             open_at.setdefault(level, []).append(bin_no)
             highest = max(highest, level)
         out[i] = bin_no
-    return _pour_together(out, np.array(fill, dtype=np.int64), capacity)
+    return _pour_together(out, np.array(fill, dtype=np.int64), capacity) if pour else out
 
 
 def _pour_together(bins: np.ndarray, fill: np.ndarray, capacity: int) -> np.ndarray:
@@ -93,12 +93,12 @@ def _pour_together(bins: np.ndarray, fill: np.ndarray, capacity: int) -> np.ndar
     return dense
 
 
-def _pack_group(table: pa.Table) -> pa.Table:
+def _pack_group(table: pa.Table, pour: bool = True) -> pa.Table:
     container = table.column("container_id")[0].as_py()
     capacity = int(table.column("capacity")[0].as_py())
     group = int(table.column("grp")[0].as_py())
     table = table.sort_by([("turn", "ascending"), ("part_no", "ascending")])
-    bins = pack_sizes(np.asarray(table.column("tokens").combine_chunks()), capacity)
+    bins = pack_sizes(np.asarray(table.column("tokens").combine_chunks()), capacity, pour)
     n = table.num_rows
     return pa.table({
         "container_id": pa.array([container] * n, table.column("container_id").type),
@@ -106,17 +106,21 @@ def _pack_group(table: pa.Table) -> pa.Table:
         "bin_id": pa.array(bins + (group << 32), pa.int64())})
 
 
-def pack(items: DataFrame, containers: DataFrame, id_column: str, size_column: str = "tokens") -> DataFrame:
+def pack(items: DataFrame, containers: DataFrame, id_column: str, size_column: str = "tokens", pour: bool = True) -> DataFrame:
     """(container_id, id, part_no, tokens, bin_id): the container of every item for every capacity.
 
     An item is in one part unless it exceeds the capacity; then its parts fill
     containers of their own but for the last, which is packed like any item.
     Null sizes count as 0; items of size 0 take no room and share a container.
     Repeated and null ids are items of their own. Containers without a positive
-    capacity are left out.
+    capacity are left out; more than ``MOST_CAPACITIES`` are an error. The
+    result doesn't depend on how the table lies in files, but for items without
+    an id, which go by their place. With ``pour``,
+    containers that fit together are poured together after the online rule.
     """
-    base = settle(items.select(F.col(id_column).alias("id"), F.greatest(F.coalesce(F.col(size_column), F.lit(0)), F.lit(0)).cast("long").alias("size"))
-                  .withColumn("turn", F.xxhash64(F.monotonically_increasing_id())), "items")
+    size = F.greatest(F.coalesce(F.col(size_column), F.lit(0)), F.lit(0)).cast("long")
+    turn = F.coalesce(F.when(F.col(id_column).isNotNull(), F.xxhash64(F.col(id_column), size)), F.xxhash64(F.monotonically_increasing_id()))
+    base = settle(items.select(F.col(id_column).alias("id"), size.alias("size"), turn.alias("turn")), "items")
     total = base.agg(F.sum("size")).first()[0] or 0
     kinds = containers.where("capacity_tokens > 0").select("container_id", F.col("capacity_tokens").cast("long").alias("capacity"))
     # The list of capacities is a few rows by contract, so it travels as a literal array instead of a join.
@@ -134,7 +138,7 @@ def pack(items: DataFrame, containers: DataFrame, id_column: str, size_column: s
     rest = each.select(
         "container_id", "capacity", "id", (F.col("full") + 1).alias("part_no"), (F.col("size") - F.col("full") * F.col("capacity")).alias("tokens"), "turn",
         F.pmod(F.col("turn"), groups).cast("int").alias("grp"))
-    packed = rest.groupBy("container_id", "grp").applyInArrow(_pack_group, _schema(items, id_column, containers))
+    packed = rest.groupBy("container_id", "grp").applyInArrow(lambda t: _pack_group(t, pour), _schema(items, id_column, containers))
     filled = (
         each.where("full > 0").select("container_id", "id", "turn", F.col("capacity").alias("tokens"), F.explode(F.sequence(F.lit(1), F.col("full"))).alias("part_no"))
         .select("container_id", "id", "part_no", "tokens", (-F.abs(F.shiftright(F.xxhash64("turn", "part_no"), 1)) - 1).alias("bin_id")))

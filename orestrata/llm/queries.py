@@ -12,19 +12,23 @@ from orestrata.llm.packing import fill_report, pack
 from orestrata.llm.sentences import split_sentences
 from orestrata.llm.splitting import split_long
 from orestrata.llm.tokens import with_sizes
-from orestrata.session import table
+from orestrata.session import settle, table
 
 NEAR_FIELDS = ["title", "summary", "overall_design"]
 
 
+def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    return NearDuplicates(table(spark, sf_dir, "series"), "id", NEAR_FIELDS, width=3, similarity=0.6)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of series of similarity 0.6 or more on runs of three words."""
-    return NearDuplicates(table(spark, sf_dir, "series"), "id", NEAR_FIELDS, width=3, similarity=0.6).pairs()
+    return _near(spark, sf_dir).pairs()
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class of every series by links of similarity 0.8 on runs of five words, and its number of links."""
-    return NearDuplicates(table(spark, sf_dir, "series"), "id", NEAR_FIELDS).groups()
+    """The same links in compact form: class of every series, and how many near-duplicates it has."""
+    return _near(spark, sf_dir).groups()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,9 +106,30 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p6_containers(spark, sf_dir).withColumnRenamed("doc_id", "id"), table(spark, sf_dir, "pack_container"))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each capacity: documents placed, containers above it, documents split that fit, parts missing."""
+    kinds = table(spark, sf_dir, "pack_container").select("container_id", "capacity_tokens")
+    parts = settle(p6_containers(spark, sf_dir), "packed")
+    bins = parts.groupBy("container_id", "bin_id").agg(F.sum("tokens").alias("load")).join(kinds, "container_id")
+    docs = parts.groupBy("container_id", "doc_id").agg(F.count("*").alias("n"), F.max("part_no").alias("last"), F.sum("tokens").alias("size")).join(kinds, "container_id")
+    one = bins.groupBy("container_id").agg(F.count_if(F.col("load") > F.col("capacity_tokens")).alias("n_overfull"))
+    two = docs.groupBy("container_id").agg(
+        F.count("*").alias("n_items"), F.count_if((F.col("n") > 1) & (F.col("size") <= F.col("capacity_tokens"))).alias("n_split"), F.count_if(F.col("n") != F.col("last")).alias("n_lost"))
+    return two.join(one, "container_id")
+
+
+#: Domains of the sources of ``documents``.
+DOMAINS = {
+    "series_summary": "study", "overall_design": "study", "sample_protocol": "bench", "qc_log": "bench", "field_diary": "bench", "platform_manual": "platform",
+    "curation_note": "curation", "submitter_mail": "curation", "reanalysis_report": "curation"}
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_sizes(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"], "text")
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sized = with_sizes(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang"], "text")
-    return mix(sized, table(spark, sf_dir, "mix_target"))
+    return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_target"), domains=DOMAINS)
 
 
 def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,22 +142,46 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p7_shares_at_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for mixes of the size of all documents, which the small sources can't fill: their shortage goes to the siblings, then further."""
+    sized = settle(_sized(spark, sf_dir), "tokens")
+    total = float(sized.agg(F.sum("tokens")).first()[0] or 0)
+    return mix(sized, table(spark, sf_dir, "mix_target"), total=total, domains=DOMAINS)[1]
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each mix: sources asked for, documents used too often, of another source, twice, and whether every source of which there is any comes within 0.02 of its weight."""
+    selection, shares = _mixed(spark, sf_dir)
+    targets = table(spark, sf_dir, "mix_target").select("mix_id", "source", "max_repeats")
+    chosen = settle(selection, "chosen")
+    used = chosen.join(targets, ["mix_id", "source"], "left").groupBy("mix_id").agg(
+        F.count_if(F.col("times") > F.col("max_repeats")).alias("n_too_often"), F.count_if(F.col("max_repeats").isNull()).alias("n_foreign"),
+        (F.count("*") - F.countDistinct("id")).alias("n_twice"))
+    # What a source without documents leaves is dealt among those of its domain.
+    missed = F.max(F.when(F.col("available") > 0, F.abs(F.col("share") - F.col("weight")) - F.col("left"))) <= 0.02
+    left = F.sum(F.when(F.col("available") == 0, F.col("weight")).otherwise(0.0)).over(Window.partitionBy("mix_id"))
+    return shares.withColumn("left", left).groupBy("mix_id").agg(F.count("*").alias("n_sources"), missed.alias("close")).join(used, "mix_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence units of every document."""
     return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_report, p5_found, p5_pieces, p5_coverage, p6_containers, p6_fill, p7_selection, p7_shares, p8_found)}
-#: Equivalents for DuckDB where SQL can express the result on whole tables.
-SQL: dict[str, str] = {
-    "p2_found": r"""
-WITH w AS (
+    p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_report, p5_found, p5_pieces, p5_coverage, p6_containers, p6_fill, p6_checks, p7_selection, p7_shares, p7_shares_at_total, p7_checks, p8_found)}
+_PAIRS_SQL = r"""w AS (
   SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(overall_design, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS l FROM series),
 g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) AS s FROM w WHERE len(l) >= 3),
 n AS (SELECT id, count(*) AS c FROM g GROUP BY id),
-p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM g a JOIN g b USING (s) WHERE a.id < b.id GROUP BY a.id, b.id)
-SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k / (x.c + y.c - k)::DOUBLE >= 0.6""",
+p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM g a JOIN g b USING (s) WHERE a.id < b.id GROUP BY a.id, b.id),
+found AS (SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k / (x.c + y.c - k)::DOUBLE >= 0.6)"""
+#: Equivalents for DuckDB where SQL can express the result on whole tables.
+SQL: dict[str, str] = {
+    "p2_found": f"WITH {_PAIRS_SQL} SELECT id_a, id_b FROM found",
+    "p2_groups": f"""WITH RECURSIVE {_PAIRS_SQL}, e AS (SELECT id_a AS a, id_b AS b FROM found UNION ALL SELECT id_b, id_a FROM found),
+reach AS (SELECT id AS a, id AS b FROM n UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+SELECT r.a AS id, min(r.b) AS group_id, any_value(coalesce(d.c, 0)) AS n_links FROM reach r LEFT JOIN (SELECT a, count(*) AS c FROM e GROUP BY a) d ON d.a = r.a GROUP BY r.a""",
     "p3_found": r"""
 WITH v AS (
   SELECT id, embedding::DOUBLE[] AS v FROM series WHERE len(embedding) = 384
@@ -152,4 +201,6 @@ SELECT field, gse, 'over' AS kind FROM o
 UNION ALL SELECT field, gse, 'hard' AS kind FROM s WHERE longest > 4000""",
     "p5_coverage": """WITH t AS (SELECT 'search_text' AS field, search_text AS x FROM series UNION ALL SELECT 'embed_text', embed_text FROM record_ref)
 SELECT field, count(*) AS n_texts, count(*) FILTER (length(x) > 4000) AS n_over, sum(length(x))::BIGINT AS n_covered, 0::BIGINT AS n_bad, 0::BIGINT AS n_gaps FROM t WHERE length(x) > 0 GROUP BY field""",
+    "p6_checks": "SELECT container_id, (SELECT count(*) FROM documents) AS n_items, 0::BIGINT AS n_overfull, 0::BIGINT AS n_split, 0::BIGINT AS n_lost FROM pack_container",
+    "p7_checks": "SELECT mix_id, count(*) AS n_sources, 0::BIGINT AS n_too_often, 0::BIGINT AS n_foreign, 0::BIGINT AS n_twice, true AS close FROM mix_target GROUP BY mix_id",
 }

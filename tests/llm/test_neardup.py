@@ -111,3 +111,15 @@ def test_chain_of_links(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     roots = {r.id: r.root for r in ND.connected(df).collect()}
     assert all(roots[i] == 0 for i in range(201)) and roots[501] == 500
+
+
+def test_links_of_copies_count(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, text) for i in range(5)] + [(9, text + " thirteen"), (10, text + " thirteen"), (20, "quite another text of some more words here")]
+    nd = ND.NearDuplicates(spark.createDataFrame(rows, "id long, title string"), "id", ["title"], width=3, similarity=0.6)
+    groups = {r.id: r for r in nd.groups().collect()}
+    per = {}
+    for a, b in nd.pairs().collect():
+        per[a], per[b] = per.get(a, 0) + 1, per.get(b, 0) + 1
+    assert {i: g.n_links for i, g in groups.items()} == {**{i: per.get(i, 0) for i in groups}} and groups[0].n_links == 6 and groups[20].n_links == 0
+    assert {g.group_id for i, g in groups.items() if i < 20} == {0}

@@ -202,3 +202,36 @@ def test_sentence_rows(spark):
     got = S.split_sentences(df, "doc_id", "text").collect()
     assert {r.doc_id for r in got} >= {0, 49, None, 103} and not {100, 101, 102} & {r.doc_id for r in got}
     assert S.split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_a_large_record_doesnt_end_a_prefix(spark):
+    rows = [(i, "a", "en", 10) for i in range(40)] + [(100, "a", "en", 5000), (200, "b", "en", 400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, tokens long")
+    targets = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.5, 1)], "mix_id int, source string, weight double, max_repeats int")
+    shares = {r.source: r.tokens for r in mix(df, targets)[1].collect()}
+    assert shares == {"a": 400, "b": 400}
+
+
+def test_mix_levels_and_totals(spark):
+    rows = [(i, s, lang, 10) for s, n in (("mail", 4), ("log", 60), ("page", 60)) for lang in ("en", "de") for i in range(n)]
+    df = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "doc_id long, source string, lang string, tokens long")
+    targets = spark.createDataFrame([(1, "mail", 0.25, 2), (1, "log", 0.25, 1), (1, "page", 0.5, 1)], "mix_id int, source string, weight double, max_repeats int")
+    domains = {"mail": "lab", "log": "lab"}
+    short = {r.source: r.tokens for r in mix(df, targets, total=800, domains=domains)[1].collect()}
+    assert short == {"mail": 160, "log": 240, "page": 400}  # what the mails lack the sibling gives
+    free = {r.source: r.tokens for r in mix(df, targets)[1].collect()}
+    assert free == {"mail": 160, "log": 160, "page": 320}
+    german, _ = mix(df, targets, total={1: 400}, languages={"de": 1.0}, domains=domains)
+    per = {(r.source, r.lang): r.t for r in german.groupBy("source", "lang").agg(F.sum(F.col("tokens") * F.col("times")).alias("t")).collect()}
+    # German mails are 80 with repeats; the others are all German.
+    assert per == {("mail", "de"): 80, ("mail", "en"): 20, ("log", "de"): 100, ("page", "de"): 200}
+
+
+def test_results_dont_depend_on_the_layout(spark):
+    rows = [(i, "a" if i % 3 else "b", "en", 1 + i * 37 % 90) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, tokens long")
+    targets = spark.createDataFrame([(1, "a", 0.6, 1), (1, "b", 0.4, 2)], "mix_id int, source string, weight double, max_repeats int")
+    kinds = spark.createDataFrame([(1, 128)], "container_id int, capacity_tokens int")
+    one, two = df.repartition(3), df.repartition(5, "tokens")
+    assert {(r.id, r.times) for r in mix(one, targets, total=9000)[0].collect()} == {(r.id, r.times) for r in mix(two, targets, total=9000)[0].collect()}
+    assert {(r.id, r.bin_id) for r in pack(one, kinds, "doc_id").collect()} == {(r.id, r.bin_id) for r in pack(two, kinds, "doc_id").collect()}
