@@ -18,9 +18,9 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from orestrata.functions.vectors import usable_rows
 from orestrata.session import settle
 
 #: Rows the projection is fitted on, at most.
@@ -52,16 +52,10 @@ class Curves:
 
 def unit_rows(column: pa.ListArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and unit vectors of the usable rows: ``dims`` finite numbers that are not all zero."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
-    at = np.flatnonzero(lengths == dims)
-    picked = column.take(pa.array(at))
-    flat = picked.flatten()
-    x = np.asarray(pc.fill_null(flat, float("nan")), dtype=np.float32).reshape(len(at), dims)
-    fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-    at, x = at[fine], x[fine].astype(np.float64)
+    at, x = usable_rows(column, dims)
+    x = x.astype(np.float64)
     # Scaled by the largest part first, so that no square over- or underflows.
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=1e-300)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     return at, x.astype(np.float32)
 
@@ -232,6 +226,13 @@ def window_lists(x: np.ndarray, ids: np.ndarray, k: int, window: int, step: int
             continue
         top = np.argpartition(-s, take - 1, axis=1)[:, :take]
         score = np.take_along_axis(s, top, axis=1)
+        # Of equals at the last place any may have been taken: there the smallest ids are chosen.
+        least = score.min(axis=1)
+        tied = np.flatnonzero((s >= least[:, None]).sum(axis=1) > take)
+        for r in tied.tolist():
+            at = np.flatnonzero(s[r] >= least[r])
+            at = at[np.lexsort((ids[lo + at], -s[r, at]))[:take]]
+            top[r], score[r] = at, s[r, at]
         order = np.lexsort((ids[lo + top], -score), axis=1)
         yield slice(a, b), ids[lo + np.take_along_axis(top, order, axis=1)], np.take_along_axis(score, order, axis=1)
 
@@ -261,29 +262,102 @@ def _neighbour_lists(k: int, dims: int, window: int):
     return run
 
 
+def best_of(rows: np.ndarray, near: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, ranks) of the k best of each row: every neighbour once with its best score, ties by the smaller neighbour."""
+    order = np.lexsort((-score, near, rows))
+    fresh = np.r_[True, (rows[order][1:] != rows[order][:-1]) | (near[order][1:] != near[order][:-1])] if len(order) else np.zeros(0, dtype=bool)
+    once = order[fresh]
+    once = once[np.lexsort((near[once], -score[once], rows[once]))]
+    starts = np.flatnonzero(np.r_[True, rows[once][1:] != rows[once][:-1]]) if len(once) else np.zeros(0, dtype=np.int64)
+    rank = np.arange(len(once)) - np.repeat(starts, np.diff(np.r_[starts, len(once)])) + 1
+    return once[rank <= k], rank[rank <= k]
+
+
 def _merge(k: int):
+    """Of each id, whose lists stand in one row, the k best of all lists."""
+
     def run(batches):
         for batch in batches:
-            out_ids, near_all, score_all, at = [], [], [], [0]
-            for i, near, score in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                best: dict[int, float] = {}
-                for ns, ss in zip(near, score):
-                    for n, s in zip(ns, ss):
-                        if s > best.get(n, -2.0):
-                            best[n] = s
-                top = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:k]
-                out_ids.extend([i] * len(top))
-                near_all.extend(p[0] for p in top)
-                score_all.extend(p[1] for p in top)
-                at.append(len(top))
-            ranks = np.concatenate([np.arange(1, c + 1) for c in at[1:]]) if len(at) > 1 else np.zeros(0)
+            lists = [batch.column(c).flatten() for c in (1, 2)]
+            inner = np.asarray(lists[0].value_lengths())
+            outer = np.asarray(batch.column(1).value_lengths())
+            rows = np.repeat(np.repeat(np.arange(batch.num_rows), outer), inner)
+            near, score = np.asarray(lists[0].flatten()), np.asarray(lists[1].flatten())
+            at, rank = best_of(rows, near, score, k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_ids, pa.int64()), pa.array(near_all, pa.int64()), pa.array(score_all, pa.float32()), pa.array(ranks.astype(np.int32))],
+                [batch.column(0).take(pa.array(rows[at])), pa.array(near[at]), pa.array(score[at], pa.float32()), pa.array(rank.astype(np.int32))],
                 names=["id", "neighbour", "cosine", "rank"])
 
     return run
 
 
+def nearest_of(df: DataFrame, queries: DataFrame, id_column: str, vector_column: str, k: int = 10, dims: int = 384, block: int = 4096) -> DataFrame:
+    """(id, neighbour, cosine): the k most similar vectors of a stated set of queries, exactly, against all rows in blocks.
+
+    The queries are read in blocks of at most ``block`` vectors, one broadcast
+    each; a batch of rows keeps k candidates for every query.
+    """
+    spark = df.sparkSession
+    base = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<float>").alias("v")).where(F.col("id").isNotNull())
+    wanted = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<float>").alias("v")).where(F.col("id").isNotNull())
+    blocks = max(1, -(-wanted.count() * 5 // (4 * block)))
+    out = None
+    for b in range(blocks):
+        part = wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        at, q = unit_rows(part.column(1), dims)
+        shared = spark.sparkContext.broadcast((np.asarray(part.column(0))[at], q))
+
+        def run(batches, shared=shared):
+            ids, q = shared.value
+            for batch in batches:
+                at, x = unit_rows(batch.column(1), dims)
+                if not len(at) or not len(ids):
+                    continue
+                own = np.asarray(batch.column(0))[at]
+                s = q @ x.T
+                s[ids[:, None] == own[None, :]] = -2.0
+                take = min(k, len(at))
+                top = np.argpartition(-s, take - 1, axis=1)[:, :take]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, take)), pa.array(own[top].ravel()), pa.array(np.take_along_axis(s, top, axis=1).ravel())], names=["id", "neighbour", "cosine"])
+
+        one = base.mapInArrow(run, "id long, neighbour long, cosine float").where("cosine > -2")
+        out = one if out is None else out.unionByName(one)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
+    return out.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+#: How far the cosine of half-precision vectors may be off.
+HALF_ERROR = 1e-4
+
+
+def verified(near: DataFrame, df: DataFrame, id_column: str, vector_column: str, least: float, dims: int = 384) -> DataFrame:
+    """Pairs (id, neighbour, cosine) whose cosine is at least ``least``; those too close to it to tell are computed from the full vectors.
+
+    They are few, so only the vectors they need are read again and joined.
+    """
+    clear = near.where(F.col("cosine") >= least + HALF_ERROR).select("id", "neighbour", F.col("cosine").cast("double").alias("cosine"))
+    close = near.where((F.col("cosine") >= least - HALF_ERROR) & (F.col("cosine") < least + HALF_ERROR)).select("id", "neighbour").distinct()
+    needed = close.select(F.explode(F.array("id", "neighbour")).alias("vid")).distinct()
+    vectors = df.select(F.col(id_column).cast("long").alias("vid"), F.col(vector_column).cast("array<float>").alias("v")).join(needed, "vid", "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            at, x = usable_rows(batch.column(2), dims)
+            two, y = usable_rows(batch.column(3), dims)
+            both, i, j = np.intersect1d(at, two, return_indices=True)
+            x, y = x[i].astype(np.float64), y[j].astype(np.float64)
+            for v in (x, y):
+                v /= np.abs(v).max(axis=1, keepdims=True, initial=1e-300)
+            score = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+            rows = pa.array(both)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(score)], names=["id", "neighbour", "cosine"])
+
+    pairs = close.join(vectors.select(F.col("vid").alias("id"), F.col("v").alias("a")), "id").join(vectors.select(F.col("vid").alias("neighbour"), F.col("v").alias("b")), "neighbour")
+    exact = pairs.select("id", "neighbour", "a", "b").mapInArrow(run, "id long, neighbour long, cosine double").where(F.col("cosine") >= least)
+    return clear.unionByName(exact)
+
+
 def most_similar(df: DataFrame, id_column: str, vector_column: str, k: int = 10, dims: int = 384, curves: Curves = Curves()) -> DataFrame:
     """(id, neighbour, cosine, rank): the k most similar vectors of every usable vector.
 

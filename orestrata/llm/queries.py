@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from orestrata.llm.canonical import map_series
 from orestrata.llm.mixing import mix
 from orestrata.llm.neardup import NearDuplicates
-from orestrata.llm.neighbours import most_similar
+from orestrata.llm.neighbours import HALF_ERROR, most_similar, nearest_of, verified
 from orestrata.llm.packing import fill_report, pack
 from orestrata.llm.sentences import split_sentences
 from orestrata.llm.splitting import split_long
@@ -33,7 +33,9 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of series of cosine 0.80 or more of which one is among the ten most similar of the other."""
-    near = most_similar(table(spark, sf_dir, "series"), "id", "embedding").where(F.col("cosine") >= 0.80)
+    series = table(spark, sf_dir, "series")
+    near = settle(most_similar(series, "id", "embedding").where(F.col("cosine") >= 0.80 - HALF_ERROR), "near")
+    near = verified(near, series, "id", "embedding", 0.80)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
@@ -42,6 +44,19 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return most_similar(table(spark, sf_dir, "series"), "id", "embedding").withColumn("cosine", F.round("cosine", 4))
 
 
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the series whose id is divisible by 100: how many of their true ten most similar, by cosine to four digits, are found.
+
+    The true ones come from comparing these queries with all vectors, block by block.
+    """
+    series = table(spark, sf_dir, "series")
+    found = most_similar(series, "id", "embedding").where(F.col("id") % 100 == 0)
+    true = nearest_of(series, series.where(F.col("id") % 100 == 0), "id", "embedding")
+    last = true.groupBy("id").agg(F.min("cosine").alias("least"), F.count("*").alias("k"))
+    hit = found.join(last, "id").groupBy("id").agg(F.count_if(F.col("cosine") >= F.col("least") - HALF_ERROR).alias("n"), F.first("k").alias("k"))
+    return last.select("id").join(hit, "id", "left").agg(F.count("*").alias("n_queries"), (F.sum(F.coalesce(F.least("n", "k"), F.lit(0))) / F.sum("k") >= 0.9).alias("recall_reached"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of ``term_list`` meant by the freely typed values of four fields of ``series``."""
     return map_series(table(spark, sf_dir, "series"), table(spark, sf_dir, "term_list"))
@@ -169,7 +184,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p2_found, p2_groups, p3_found, p3_neighbours, p4_found, p4_report, p5_found, p5_pieces, p5_coverage, p6_containers, p6_fill, p6_checks, p7_selection, p7_shares, p7_shares_at_total, p7_checks, p8_found)}
+    p2_found, p2_groups, p3_found, p3_neighbours, p3_recall, p4_found, p4_report, p5_found, p5_pieces, p5_coverage, p6_containers, p6_fill, p6_checks, p7_selection, p7_shares, p7_shares_at_total, p7_checks, p8_found)}
 _PAIRS_SQL = r"""w AS (
   SELECT id, list_filter(regexp_split_to_array(lower(concat_ws(' ', coalesce(title, ''), coalesce(summary, ''), coalesce(overall_design, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS l FROM series),
 g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) AS s FROM w WHERE len(l) >= 3),
@@ -203,4 +218,6 @@ UNION ALL SELECT field, gse, 'hard' AS kind FROM s WHERE longest > 4000""",
 SELECT field, count(*) AS n_texts, count(*) FILTER (length(x) > 4000) AS n_over, sum(length(x))::BIGINT AS n_covered, 0::BIGINT AS n_bad, 0::BIGINT AS n_gaps FROM t WHERE length(x) > 0 GROUP BY field""",
     "p6_checks": "SELECT container_id, (SELECT count(*) FROM documents) AS n_items, 0::BIGINT AS n_overfull, 0::BIGINT AS n_split, 0::BIGINT AS n_lost FROM pack_container",
     "p7_checks": "SELECT mix_id, count(*) AS n_sources, 0::BIGINT AS n_too_often, 0::BIGINT AS n_foreign, 0::BIGINT AS n_twice, true AS close FROM mix_target GROUP BY mix_id",
+    "p3_recall": """SELECT count(*) AS n_queries, true AS recall_reached FROM series WHERE id % 100 = 0 AND len(embedding) = 384
+AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0""",
 }
