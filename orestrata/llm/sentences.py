@@ -12,26 +12,31 @@
    marks before a usual opener, against marks before lower case, before
    punctuation, or after a token that never closes a paragraph.
 
-The token statistics cover all documents. They are hashed into tables of fixed
-size, so neither what travels nor what is broadcast grows with the corpus.
+The token statistics are exact counts over all documents, added up where the
+documents are. Of them the model keeps every token that makes up at least one
+in ``MOST_TOKENS`` of all occurrences, which are at most that many; rarer ones
+have the corpus's rate, as new ones do.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from orestrata.session import spread
+from orestrata.session import settle, spread
 
 #: Documents the classifier is trained on, at most.
 TRAINING_DOCUMENTS = 4000
-STAT_SLOTS = 1 << 17
+#: Tokens whose counts the model holds, at most.
+MOST_TOKENS = 1 << 21
 LEXICAL_SLOTS = 1 << 13
 
 # Marks that may end a sentence. The semicolon does in Greek only.
@@ -47,8 +52,10 @@ _MARK_RUN = re.compile(r"[" + re.escape(MARKS) + r"]+")
 _WORD = re.compile(r"[^\W_]+(?:['’.\-][^\W_]+)*")
 _NEXT_WORD = re.compile(r"[ \n]+([^\W\d_]+)")
 _DIGIT = re.compile(r"\d+")
+_SKIP = re.compile(r"\s*")
 
 
+@lru_cache(maxsize=1 << 16)
 def script_of(ch: str) -> str:
     """A coarse script name of a letter; ``digit`` and ``other`` for the rest."""
     o = ord(ch)
@@ -75,6 +82,7 @@ def script_of(ch: str) -> str:
     return "letter" if ch.isalpha() else "other"
 
 
+@lru_cache(maxsize=1 << 16)
 def _shape(word: str) -> str:
     """A token as the tables know it: digits masked, capitals of codes and initials folded."""
     if word.isdigit():
@@ -88,15 +96,21 @@ def _shape(word: str) -> str:
     return word
 
 
+_AROUND = "\"'“”„‘’«»()[]（）「」『』,;:"
+
+
 def token_before(text: str, at: int, lo: int) -> str:
-    """The token that ends at ``at``, without opening marks."""
-    i = at
-    while i > lo and not text[i - 1].isspace() and at - i < 40:
-        i -= 1
-        if script_of(text[i]) == "han" and at - i >= 2:
-            break
-    raw = text[i:at].strip("\"'“”„‘’«»()[]（）「」『』,;:")
-    return raw[-12:]
+    """The token that ends at ``at``, without opening marks; in scripts without spaces its last two characters."""
+    raw = text[max(lo, at - 40):at]
+    if not raw or raw[-1].isspace():
+        return ""
+    raw = raw.rsplit(None, 1)[-1]
+    if not raw.isascii() and max(raw) >= "\u3040":
+        for i in range(len(raw) - 2, -1, -1):
+            if script_of(raw[i]) == "han":
+                raw = raw[i:]
+                break
+    return raw.strip(_AROUND)[-12:]
 
 
 def token_after(text: str, at: int, hi: int) -> str:
@@ -129,7 +143,7 @@ class Candidate:
     next: int  # first character after white space
     before: str
     after: str
-    earlier: str
+    lo: int  # where the paragraph begins, -1 if what stands earlier doesn't count
     kind: str
 
 
@@ -174,6 +188,8 @@ def _depths(text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
 
 def _end_of(text: str, lo: int, hi: int) -> int:
     """``hi`` without the white space before it."""
+    if hi > lo and not text[hi - 1].isspace():
+        return hi
     while hi > lo and text[hi - 1].isspace():
         hi -= 1
     return hi
@@ -221,34 +237,35 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
                 end += 1
                 continue
             break
-        if not closed and (inside(a) or inside(end - 1) and end - 1 not in begins):
+        if spans and not closed and (inside(a) or inside(end - 1) and end - 1 not in begins):
             continue
         at = end
-        rest = end
-        while rest < hi and text[rest].isspace():
-            rest += 1
+        rest = _SKIP.match(text, end, hi).end()
         if rest >= hi:
             break
         gap = rest > end
-        before = token_before(text, a, lo)
         nxt = text[rest]
-        opening = nxt in "「『（《" or nxt in "“\"(" and rest + 1 < hi and (text[rest + 1].isupper() or script_of(text[rest + 1]) == "han")
-        if not gap and (opening or script_of(nxt) == "han"):
+        if gap:
+            before = token_before(text, a, lo)
+        elif script_of(nxt) == "han" or nxt in "「『（《" or nxt in "“\"(" and rest + 1 < hi and (text[rest + 1].isupper() or script_of(text[rest + 1]) == "han"):
+            before = token_before(text, a, lo)
             if mark[-1] in ".…" and len(mark) == 1 and len(before) < 2 and not before.isdigit():
                 continue
-        elif not gap and mark[-1] in ".…" and not closed:
+        elif mark[-1] in ".…" and not closed:
             # Without a space a full stop ends a sentence only between a word and a capital.
-            if not (nxt.isupper() and len(before) >= 3 and before[-1].isalnum() and "." not in before and not before.isupper() and rest + 1 < hi and not text[rest + 1] == "."):
+            if not nxt.isupper():
+                continue
+            before = token_before(text, a, lo)
+            if not (len(before) >= 3 and before[-1].isalnum() and "." not in before and not before.isupper() and rest + 1 < hi and not text[rest + 1] == "."):
                 continue
             if before[-1].isdigit() and not before.isdigit():
                 continue
-        elif not gap and mark[-1] in "!?;;" and not closed and not nxt.isupper() and script_of(nxt) not in ("han", "hangul", "spaced"):
+        elif mark[-1] in "!?;;" and not closed and not nxt.isupper() and script_of(nxt) not in ("han", "hangul", "spaced"):
             continue
+        else:
+            before = token_before(text, a, lo)
         kind = "standalone" if standalone else "closed" if closed else "plain"
-        start = _end_of(text, lo, a)
-        while start > lo and a - start < 80 and not text[start - 1].isspace():
-            start -= 1
-        out.append(Candidate(a, end, rest, before, token_after(text, rest, hi), token_before(text, _end_of(text, lo, start), lo), kind))
+        out.append(Candidate(a, end, rest, before, token_after(text, rest, hi), lo, kind))
     if _SPACED_SCRIPT.search(text, lo, hi):
         taken = {c.next for c in out}
         for m in re.finditer(r"\s+", text[lo:hi]):
@@ -257,11 +274,20 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
                 continue
             titled = script_of(text[b]) == "latin" and text[b].isupper() and b + 1 < hi and text[b + 1].islower()
             if script_of(text[a - 1]) == "spaced" and (script_of(text[b]) == "spaced" or titled or text[b] in "\"“(¿¡«"):
-                out.append(Candidate(a, a, b, text[max(lo, a - 8):a], token_after(text, b, hi), "", "space"))
+                out.append(Candidate(a, a, b, text[max(lo, a - 8):a], token_after(text, b, hi), -1, "space"))
         out.sort(key=lambda c: c.end)
     return out
 
 
+def earlier_of(text: str, c: Candidate) -> str:
+    """The token before the one that stands before a candidate."""
+    if c.lo < 0:
+        return ""
+    end = _end_of(text, c.lo, c.mark)
+    own = text[max(c.lo, c.mark - 80):end].rsplit(None, 1)
+    return token_before(text, _end_of(text, c.lo, end - len(own[-1]) if own else end), c.lo)
+
+
 def _opens_next(out: list[Candidate], opened: int) -> bool:
     """Whether a parenthesis opens right after the last candidate, so that it may be a sentence of its own."""
     return bool(out) and out[-1].next == opened
@@ -338,34 +364,44 @@ def _list_like(text: str, spans: list[tuple[int, int]]) -> bool:
 
 # --- statistics and features -------------------------------------------------------------------------------------------
 
+#: Counts of a token: how often it opens a paragraph or stands after a candidate, of how often; the same for closing and standing before.
 TABLES = ("opens", "seen_after", "closes", "seen_before")
 
 
-def _slots(token: str, table: int) -> tuple[int, int]:
-    h = xxhash.xxh64_intdigest(token, table)
-    return h % STAT_SLOTS, (h >> 32) % STAT_SLOTS
+def token_key(token: str) -> int:
+    """A token as the statistics know it: the signed 64-bit hash of its shape."""
+    h = xxhash.xxh64_intdigest(_shape(token))
+    return h - (1 << 64) if h >> 63 else h
 
 
 @dataclass
 class Statistics:
     """How often tokens open or close paragraphs, of how often they stand after or before a candidate."""
 
-    tables: np.ndarray  # (4, STAT_SLOTS)
+    keys: np.ndarray  # sorted hashes
+    counts: np.ndarray  # (tokens, 4)
+    sums: np.ndarray  # (4,) over all tokens, those left out included
 
     def __post_init__(self) -> None:
-        sums = self.tables.sum(axis=1) / 2.0
-        self.open_rate = float((sums[0] + 1) / (sums[1] + 2))
-        self.close_rate = float((sums[2] + 1) / (sums[3] + 2))
+        self.open_rate = float((self.sums[0] + 1) / (self.sums[1] + 2))
+        self.close_rate = float((self.sums[2] + 1) / (self.sums[3] + 2))
         self._memo: dict[tuple[str, int], tuple[float, float]] = {}
 
+    @classmethod
+    def of(cls, counters: list[Counter]) -> "Statistics":
+        """From counters by table of some texts."""
+        keys = np.array(sorted(set().union(*counters)), dtype=np.int64)
+        counts = np.array([[c.get(int(k), 0) for c in counters] for k in keys], dtype=np.float32).reshape(-1, 4)
+        return cls(keys, counts, counts.sum(axis=0, dtype=np.float64))
+
     def rate(self, token: str, side: int) -> tuple[float, float]:
         """Log of the smoothed rate against the corpus's, and the count behind it."""
         got = self._memo.get((token, side))
         if got is None:
-            t = _shape(token)
-            hit = min(float(self.tables[2 * side][s]) for s in _slots(t, 2 * side))
-            seen = min(float(self.tables[2 * side + 1][s]) for s in _slots(t, 2 * side + 1))
-            hit = min(hit, seen)
+            key = token_key(token)
+            at = int(np.searchsorted(self.keys, key))
+            known = at < len(self.keys) and self.keys[at] == key
+            hit, seen = (float(x) for x in self.counts[at, 2 * side:2 * side + 2]) if known else (0.0, 0.0)
             prior = self.open_rate if side == 0 else self.close_rate
             got = (float(np.log((hit + 2 * prior) / (seen + 2)) - np.log(prior)), seen)
             if len(self._memo) > 100_000:
@@ -395,14 +431,9 @@ def _final(text: str, lo: int, hi: int) -> tuple[str, str] | None:
     return token_before(text, b, lo), text[b:end]
 
 
-def count_tokens(texts) -> np.ndarray:
-    """The four tables over some texts."""
-    t = np.zeros((4, STAT_SLOTS), dtype=np.float64)
-
-    def add(table: int, token: str) -> None:
-        for s in _slots(_shape(token), table):
-            t[table][s] += 1.0
-
+def count_tokens(texts) -> list[Counter]:
+    """The four counters over some texts, by hash of the token."""
+    opens, after, closes, before = tables = [Counter() for _ in TABLES]
     for text in texts:
         if not text or text.isspace():
             continue
@@ -410,60 +441,73 @@ def count_tokens(texts) -> np.ndarray:
             if kind != "text":
                 continue
             first = token_after(text, lo, hi)
-            add(0, first)
-            add(1, first)
+            opens[first] += 1
+            after[first] += 1
             last = _final(text, lo, hi)
             if last and last[1][0] not in "!?！？":
-                add(2, last[0])
-                add(3, last[0])
+                closes[last[0]] += 1
+                before[last[0]] += 1
             for c in found:
-                add(1, c.after)
+                after[c.after] += 1
                 if text[c.mark] not in "!?！？":
-                    add(3, c.before)
-    return t
+                    before[c.before] += 1
+    out = []
+    for table in tables:
+        hashed: Counter = Counter()
+        for token, n in table.items():
+            hashed[token_key(token)] += n
+        out.append(hashed)
+    return out
 
 
 _CLASSES = ("latin", "greek", "cyrillic", "semitic", "indic", "spaced", "ethiopic", "han", "hangul", "digit", "other", "letter")
 
 
+DENSE = 40
+_OPENING = "\"“„«「『(（¿¡["
+
+
+# Features by what they depend on, as (index, value); each group is scored once for equal arguments.
+
+def _of_before(b: str, stats: Statistics) -> tuple[list[tuple[int, float]], int]:
+    closes, n = stats.rate(b, 1)
+    dense = [
+        (2, closes), (4, closes * min(1.0, n / 10.0)), (8, float(len(b) == 1)), (9, float(b.isdigit() and len(b) <= 2)), (10, float(b[-1:].isdigit())), (11, float("." in b)),
+        (12, float(b.isupper() and len(b) > 1)), (13, min(len(b), 10) / 10.0), (22, float(b[:1].isupper()))]
+    return dense, xxhash.xxh32_intdigest("b " + _shape(b)) % LEXICAL_SLOTS
+
+
+def _of_after(a: str, stats: Statistics) -> tuple[list[tuple[int, float]], int]:
+    opens, n = stats.rate(a, 0)
+    return [(1, opens), (3, opens * min(1.0, n / 10.0))], xxhash.xxh32_intdigest("a " + _shape(a)) % LEXICAL_SLOTS
+
+
+def _of_earlier(e: str, number: bool) -> int:
+    return xxhash.xxh32_intdigest("e " + _shape(e) + " " + ("0" if number else "w")) % LEXICAL_SLOTS
+
+
+def _of_marks(mark: str, dots: bool, nxt: str, last: str, gap: str, kind: str) -> list[tuple[int, float]]:
+    script = script_of(nxt)
+    return [
+        (0, 1.0), (5, float(mark in _HARD)), (6, float(dots)), (7, float(mark == " ")), (14, float(nxt.isupper())), (15, float(nxt.isdigit())), (16, float(nxt in _OPENING)),
+        (17, float(not gap)), (18, float("\n" in gap)), (19, float(len(gap) > 1 and "\n" not in gap)), (20, float(kind == "closed")), (21, float(kind == "standalone")),
+        (23 + _CLASSES.index(script), 1.0), (36, float(bool(last) and script_of(last) != script and script not in ("digit", "other")))]
+
+
+def _marks_of(text: str, c: Candidate) -> tuple[str, bool, str, str, str, str]:
+    gap = text[c.end:c.next]
+    mark = text[c.mark] if c.kind != "space" else " "
+    # Of a gap only its width up to two and a line break matter.
+    return mark, mark == "…" or text.startswith("...", c.mark), text[c.next], c.before[-1:], "\n" if "\n" in gap else gap[:2], c.kind
+
+
 def features(text: str, c: Candidate, stats: Statistics) -> tuple[np.ndarray, list[int]]:
     """Dense values and hashed lexical indices of a candidate."""
-    opens, n_after = stats.rate(c.after, 0)
-    closes, n_before = stats.rate(c.before, 1)
-    mark = text[c.mark] if c.kind != "space" else " "
-    nxt = text[c.next]
-    b = c.before
-    gap = text[c.end:c.next]
-    dense = np.zeros(40)
-    dense[0] = 1.0
-    dense[1], dense[2] = opens, closes
-    dense[3] = opens * min(1.0, n_after / 10.0)
-    dense[4] = closes * min(1.0, n_before / 10.0)
-    dense[5] = float(mark in _HARD)
-    dense[6] = float(mark == "…" or text[c.mark:c.mark + 3] == "...")
-    dense[7] = float(mark == " ")
-    dense[8] = float(len(b) == 1)
-    dense[9] = float(b.isdigit() and len(b) <= 2)
-    dense[10] = float(b[-1:].isdigit())
-    dense[11] = float("." in b)
-    dense[12] = float(b.isupper() and len(b) > 1)
-    dense[13] = min(len(b), 10) / 10.0
-    dense[14] = float(nxt.isupper())
-    dense[15] = float(nxt.isdigit())
-    dense[16] = float(nxt in "\"“„«「『(（¿¡[")
-    dense[17] = float(not gap)
-    dense[18] = float("\n" in gap)
-    dense[19] = float(len(gap) > 1 and "\n" not in gap)
-    dense[20] = float(c.kind == "closed")
-    dense[21] = float(c.kind == "standalone")
-    dense[22] = float(b[:1].isupper())
-    kind = script_of(nxt)
-    dense[23 + _CLASSES.index(kind)] = 1.0
-    dense[36] = float(bool(b) and script_of(b[-1]) != kind and kind not in ("digit", "other"))
-    lexical = [
-        xxhash.xxh32_intdigest("b " + _shape(b)) % LEXICAL_SLOTS, xxhash.xxh32_intdigest("a " + _shape(c.after)) % LEXICAL_SLOTS,
-        xxhash.xxh32_intdigest("e " + _shape(c.earlier) + " " + ("0" if b.isdigit() else "w")) % LEXICAL_SLOTS]
-    return dense, lexical
+    dense = np.zeros(DENSE)
+    (one, b), (two, a) = _of_before(c.before, stats), _of_after(c.after, stats)
+    for i, v in [*one, *two, *_of_marks(*_marks_of(text, c))]:
+        dense[i] = v
+    return dense, [b, a, _of_earlier(earlier_of(text, c), c.before.isdigit())]
 
 
 def continues(text: str, c: Candidate) -> bool:
@@ -491,16 +535,42 @@ def reliable_label(text: str, c: Candidate, stats: Statistics) -> int | None:
     return None
 
 
-@dataclass
 class Model:
-    dense: np.ndarray
-    lexical: np.ndarray
-    stats: Statistics
+    """Weights of the classifier, and the statistics its features come from."""
+
+    def __init__(self, dense: np.ndarray, lexical: np.ndarray, stats: Statistics) -> None:
+        self.dense, self.lexical, self.stats = dense, lexical, stats
+        self._scores: dict[tuple, float] = {}
+        # What the token before the last one can change at most.
+        self._reach = float(np.abs(lexical).max(initial=0.0))
+
+    def _score(self, key: tuple) -> float:
+        """Score of one group of features, remembered."""
+        got = self._scores.get(key)
+        if got is None:
+            kind, *args = key
+            if kind == "e":
+                got = float(self.lexical[_of_earlier(*args)])
+            elif kind == "m":
+                got = sum(float(self.dense[i]) * v for i, v in _of_marks(*args))
+            else:
+                pairs, slot = (_of_before if kind == "b" else _of_after)(args[0], self.stats)
+                got = sum(float(self.dense[i]) * v for i, v in pairs) + float(self.lexical[slot])
+            if len(self._scores) > 200_000:
+                self._scores.clear()
+            self._scores[key] = got
+        return got
 
     def ends(self, text: str, c: Candidate) -> bool:
         """Whether the candidate more probably ends a sentence than not."""
-        d, l = features(text, c, self.stats)
-        return float(d @ self.dense) + sum(float(self.lexical[i]) for i in l) >= 0.0
+        score = self._score
+        z = score(("b", c.before)) + score(("a", c.after)) + score(("m", *_marks_of(text, c)))
+        if abs(z) > self._reach:
+            return z > 0.0
+        return z + score(("e", earlier_of(text, c), c.before.isdigit())) >= 0.0
+
+    def __getstate__(self):
+        return {**self.__dict__, "_scores": {}}
 
 
 def training_rows(texts, stats: Statistics):
@@ -530,7 +600,7 @@ def training_rows(texts, stats: Statistics):
                 while at > lo and text[at - 1] in CLOSERS:
                     at -= 1
                 at = max(lo, at - len(last[1].strip()))
-                c = Candidate(at, end, start, last[0], token_after(text, start, parts[k + 1][1]), "", "space" if last[1] == " " else "plain")
+                c = Candidate(at, end, start, last[0], token_after(text, start, parts[k + 1][1]), -1, "space" if last[1] == " " else "plain")
                 d, l = features(text, c, stats)
                 # The blank line itself must not be what tells.
                 d[17:20] = 0.0
@@ -543,14 +613,14 @@ def training_rows(texts, stats: Statistics):
 def train(texts, stats: Statistics, rounds: int = 60, penalty: float = 1e-3, seed: int = 3) -> Model:
     """Maximum entropy by AdaGrad on minibatches, quadratic penalty; a fixed seed makes it repeatable."""
     d, l, y = training_rows(texts, stats)
-    w, v = np.zeros(40), np.zeros(LEXICAL_SLOTS)
+    w, v = np.zeros(DENSE), np.zeros(LEXICAL_SLOTS)
     # What holds before any example: a mark between a usual closer and a usual opener ends a sentence.
     w[0], w[1], w[2], w[5], w[14] = 0.5, 1.0, 1.0, 1.0, 0.5
     if not y:
         return Model(w, v, stats)
     x, lex, y = np.array(d), np.array(l), np.array(y, dtype=float)
     weight = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum())) * len(y)
-    gw, gv = np.full(40, 1e-2), np.full(LEXICAL_SLOTS, 1e-2)
+    gw, gv = np.full(DENSE, 1e-2), np.full(LEXICAL_SLOTS, 1e-2)
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         order = rng.permutation(len(y))
@@ -594,27 +664,36 @@ def segment(text: str, model: Model) -> list[tuple[int, int]]:
 # --- the operator ------------------------------------------------------------------------------------------------------
 
 def _count_batches(batches):
-    total = np.zeros((4, STAT_SLOTS))
+    tables = [Counter() for _ in TABLES]
     for batch in batches:
-        total += count_tokens(batch.column(0).to_pylist())
-    for table in range(4):
-        at = np.flatnonzero(total[table])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), table, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(total[table][at])], names=["tab", "slot", "n"])
+        for table, counted in zip(tables, count_tokens(batch.column(0).to_pylist())):
+            table.update(counted)
+    keys = np.array(sorted(set().union(*tables)), dtype=np.int64)
+    for at in range(0, len(keys), 1 << 16):
+        part = keys[at:at + (1 << 16)]
+        columns = [pa.array([t[int(k)] for k in part], pa.int64()) for t in tables]
+        yield pa.RecordBatch.from_arrays([pa.array(part), *columns], names=["token", *TABLES])
 
 
 def learn(df: DataFrame, text_column: str) -> Model:
-    """Statistics over all texts (at most 4 * STAT_SLOTS sums reach the driver), and the classifier from a bounded sample."""
+    """Statistics over all texts (at most MOST_TOKENS rows reach the driver), and the classifier from a bounded sample, the same in every run."""
     texts = df.select(F.col(text_column).alias("text")).where(F.length("text") > 0)
-    sums = texts.mapInArrow(_count_batches, "tab int, slot int, n double").groupBy("tab", "slot").agg(F.sum("n").alias("n")).toArrow()
-    tables = np.zeros((4, STAT_SLOTS), dtype=np.float32)
-    tables[np.asarray(sums.column("tab")), np.asarray(sums.column("slot"))] = np.asarray(sums.column("n"))
-    stats = Statistics(tables)
+    schema = "token long, " + ", ".join(f"{t} long" for t in TABLES)
+    summed = settle(texts.mapInArrow(_count_batches, schema).groupBy("token").agg(*[F.sum(t).alias(t) for t in TABLES]), "tokens")
+    row = summed.agg(*[F.sum(t).alias(t) for t in TABLES]).first()
+    sums = np.array([row[t] or 0 for t in TABLES], dtype=np.float64)
+    seen = F.col("seen_after") + F.col("seen_before")
+    kept = summed.where(seen * MOST_TOKENS >= F.lit(int(sums[1] + sums[3]))).toArrow()
+    keys = np.asarray(kept.column("token"))
+    order = np.argsort(keys)
+    counts = np.stack([np.asarray(kept.column(t), dtype=np.float32) for t in TABLES], axis=1) if len(keys) else np.zeros((0, 4), dtype=np.float32)
+    stats = Statistics(keys[order], counts[order], sums)
     n = texts.count()
-    every = max(1, n // TRAINING_DOCUMENTS)
-    # Texts above 20,000 characters are left to the other documents of the sample.
-    picked = texts.where((F.pmod(F.xxhash64("text"), F.lit(every)) == 0) & (F.length("text") <= 20_000)).limit(TRAINING_DOCUMENTS)
-    sample = sorted(picked.toArrow().column(0).to_pylist())
-    return train(sample, stats)
+    # Twice what is needed by hash, of which the first by hash are taken. Texts above 20,000 characters are left to the other documents.
+    every = max(1, n // (2 * TRAINING_DOCUMENTS))
+    hashed = texts.withColumn("h", F.xxhash64("text")).where((F.pmod("h", F.lit(every)) == 0) & (F.length("text") <= 20_000))
+    picked = hashed.orderBy("h", "text").limit(TRAINING_DOCUMENTS)
+    return train(sorted(picked.select("text").toArrow().column(0).to_pylist()), stats)
 
 
 def split_sentences(df: DataFrame, id_column: str, text_column: str) -> DataFrame:

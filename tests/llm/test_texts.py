@@ -158,7 +158,7 @@ def _corpus(n, seed):
 
 def test_held_out_accuracy():
     texts, _ = _corpus(600, 1)
-    stats = S.Statistics(S.count_tokens(texts).astype(np.float32))
+    stats = S.Statistics.of(S.count_tokens(texts))
     model = S.train(texts, stats, rounds=20)
     right = found = given_ = 0
     for text, spans in zip(*_corpus(200, 2)):
@@ -172,7 +172,7 @@ def test_held_out_accuracy():
 @pytest.fixture(scope="module")
 def model():
     texts, _ = _corpus(600, 1)
-    return S.train(texts, S.Statistics(S.count_tokens(texts).astype(np.float32)), rounds=20)
+    return S.train(texts, S.Statistics.of(S.count_tokens(texts)), rounds=20)
 
 
 @pytest.mark.parametrize(("text", "units"), [
