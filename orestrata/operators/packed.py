@@ -6,27 +6,30 @@ at each kind of delimiter is, and how frequent each value is, is learned from
 the whole column by expectation-maximisation; the Viterbi path through the
 lattice is the split.
 
-Both learned tables have a fixed number of slots (values are hashed), so what is
-broadcast never grows with the data.  The E step runs where the rows are and
-only sums per slot travel.
+Values and words are counted exactly, where the rows are; only sums travel.  Of
+the counts the model holds the most frequent up to a stated number of entries,
+so what is broadcast is bounded however large the column is.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
-from orestrata.session import spread
+from orestrata.operators.frequent import most_frequent
+from orestrata.session import settle, spread
 
-#: Slots of the hashed tables: values and words, for each field.
-VALUE_SLOTS = 1 << 18
-WORD_SLOTS = 1 << 17
+#: Values seen more than once and words that the model of a field holds, at most.
+MOST_VALUES = 1 << 20
+MOST_WORDS = 1 << 20
 
 #: Parts between doubtful delimiters up to which every value of a stretch is looked up; in a longer
 #: stretch, values of more than NEAR_PARTS parts are scored by their words, but for the whole stretch.
@@ -50,7 +53,9 @@ _SPACES = re.compile(r"\s+")
 _NAMED = re.compile(r"\s*[:=]\s*")
 _AFTER_QUOTE = re.compile(r"\s*(?:$|[\n\r\t;|,；，、｜]|(?://|[/+&]|and|AND)(?=\s|$))")
 _OPENING = "^"
-_RIGHT_QUOTED = re.compile(r"^([^\"“„'‘«]{1,80}?[:=]\s*)([\"“„'‘«].*)$", re.S)
+_RIGHT_QUOTED = re.compile(r"^([^\"“„'‘«:=]*[:=]\s*)([\"“„'‘«].*)$", re.S)
+#: Two words with the space before and after each, so that a sign after the first one is seen.
+_UP_TO_SPACE = re.compile(r"\s*[\"'“”„]*\s*\S+\s*\S*\s*")
 _ESCAPED = re.compile(r"\\([^\w\s])")
 #: What the JVM uses to find the rows that later EM rounds read again.
 DOUBTFUL_PATTERN = r"\s(?:/|\+|&|and|AND)\s"
@@ -176,38 +181,61 @@ def _key(value: str) -> str:
     return _DIGITS.sub("0", _SPACES.sub(" ", _NAMED.sub(": ", value).strip(" \t\r\n\"'“”„").casefold()))
 
 
-def _value_slots(key: str) -> tuple[int, int]:
-    """Two slots of a value; the smaller count stands, so a shared slot seldom misleads."""
-    h = xxhash.xxh64_intdigest(key)
-    return h % VALUE_SLOTS, (h >> 32) % VALUE_SLOTS
+def _hash(text: str) -> int:
+    """Signed 64-bit hash, as the counts are keyed by."""
+    h = xxhash.xxh64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _word_slots(word: str) -> tuple[int, int]:
-    h = xxhash.xxh64_intdigest(word, 7)
-    return h % WORD_SLOTS, (h >> 32) % WORD_SLOTS
+@dataclass
+class Counts:
+    """Counts by hash, sorted by it, and what all entries come to, those left out included."""
+
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.float32))
+    total: float = 0.0
+    kinds: float = 0.0  # distinct entries
+    single: float = 0.0  # entries seen about once
+
+    def get(self, text: str) -> float:
+        key = _hash(text)
+        at = int(np.searchsorted(self.keys, key))
+        return float(self.counts[at]) if at < len(self.keys) and self.keys[at] == key else 0.0
+
+    @classmethod
+    def of(cls, counted: dict[str, float]) -> "Counts":
+        """Of counts by text."""
+        keys = np.array([_hash(k) for k in counted], dtype=np.int64)
+        n = np.array(list(counted.values()), dtype=np.float32)
+        order = np.argsort(keys)
+        return cls(keys[order], n[order], float(n.sum()), float(len(n)), float((n < 1.5).sum()))
 
 
 @dataclass
 class SplitModel:
-    """What one column taught: value and word frequencies by slot, and how often each kind of delimiter cuts."""
+    """What one column taught: value and word frequencies, and how often each kind of delimiter cuts."""
 
-    values: np.ndarray = field(default_factory=lambda: np.zeros(VALUE_SLOTS, dtype=np.float32))
-    words: np.ndarray = field(default_factory=lambda: np.zeros(WORD_SLOTS, dtype=np.float32))
+    values: Counts = field(default_factory=Counts)
+    words: Counts = field(default_factory=Counts)
     cut: dict[str, float] = field(default_factory=lambda: {k: 0.5 if k in _DOUBTFUL else 0.99 for k in KINDS})
 
     def __post_init__(self) -> None:
-        self.value_total = float(self.values.sum()) / 2.0
-        self.word_total = float(self.words.sum()) / 2.0
-        self.word_kinds = float((self.words > 0).sum()) / 2.0 + 1.0
-        self.novel = 2.0 + float(((self.values > 0) & (self.values < 1.5)).sum()) / 2.0
+        self.value_total, self.word_total = self.values.total, self.words.total
+        self.word_kinds = self.words.kinds + 1.0
+        self.novel = 2.0 + self.values.single
         self._memo: dict[str, float] = {}
+        self._words: dict[str, float] = {}
 
     def word_count(self, word: str) -> float:
-        a, b = _word_slots(word)
-        return min(float(self.words[a]), float(self.words[b]))
+        return self.words.get(word)
 
     def _log_word(self, word: str) -> float:
-        return math.log((self.word_count(word) + 0.1) / (self.word_total + 0.1 * self.word_kinds))
+        known = self._words.get(word)
+        if known is None:
+            if len(self._words) > 100_000:
+                self._words.clear()
+            known = self._words[word] = math.log((self.word_count(word) + 0.1) / (self.word_total + 0.1 * self.word_kinds))
+        return known
 
     def log_value(self, key: str) -> float:
         """Log frequency of a value, backed off to its words and to how often its first word opens a value.
@@ -221,7 +249,7 @@ class SplitModel:
             return known
         first, *rest = key.split(" ")
         base = self._log_word(_OPENING + first) + sum(map(self._log_word, rest))
-        seen = max(0.0, min(float(self.values[i]) for i in _value_slots(key)) - 1.0)
+        seen = max(0.0, self.values.get(key) - 1.0)
         got = math.log((seen + self.novel * math.exp(max(base, -300.0))) / (self.value_total + self.novel))
         if len(self._memo) > 50_000:
             self._memo.clear()
@@ -380,20 +408,31 @@ def _separates(text: str, sure: list) -> bool:
     return sum(1 for s in _segments_between(text, sure) if s.strip()) > 1 if sure else False
 
 
+def _first_word(text: str, at: int) -> str:
+    """What of the text from ``at`` holds its first word, with what may belong to it as a name."""
+    m = _UP_TO_SPACE.match(text, at)
+    return text[at:m.end()] if m else text[at:]
+
+
 def _openers(text: str, model: SplitModel) -> dict[str, list[float]]:
     """Of each doubtful kind: how many right sides open as values are known to open, of how many."""
     stats: dict[str, list[float]] = {}
     for _, after, kind in cut_points(text):
         if kind in _DOUBTFUL:
-            first = _key(text[after:after + 200]).split(" ", 1)[0]
+            first = _key(_first_word(text, after)).split(" ", 1)[0]
             got = stats.setdefault(kind, [0.0, 0.0])
             got[0] += float(model.word_count(_OPENING + first) >= 2.0)
             got[1] += 1.0
     return stats
 
 
-def _count_slots(models, begin: bool):
-    """The E step over Arrow batches (field name, text): sums per (field, table, slot).
+#: What a count is of: a value, a word, cuts of a kind, all delimiters of a kind.
+_VALUE, _WORD, _CUT, _ALL = range(4)
+_COUNT_SCHEMA = "field int, tab int, entry long, n double"
+
+
+def _count(columns: list[str], models, begin: bool):
+    """The E step over Arrow batches (number of the field, text): sums per (field, what, entry).
 
     Without models it only counts: words everywhere, values where the reading is
     certain. With models it takes expectations over the doubtful rows' readings,
@@ -404,74 +443,95 @@ def _count_slots(models, begin: bool):
         learned = models.value if models is not None else None
         plain = SplitModel()
         doubtful = re.compile(DOUBTFUL_PATTERN)
-        sums: dict[str, tuple[np.ndarray, np.ndarray, dict]] = {}
+        sums: dict[int, tuple[dict, dict, dict]] = {}
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = sums.get(name)
+            for f, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got = sums.get(f)
                 if got is None:
-                    got = sums[name] = (np.zeros(VALUE_SLOTS), np.zeros(WORD_SLOTS), {})
+                    got = sums[f] = (defaultdict(float), defaultdict(float), {})
                 values, words, kinds = got
                 expected, cuts = (), {}
                 if begin:
-                    cuts = _openers(text, learned[name])
+                    cuts = _openers(text, learned[columns[f]])
                 elif learned is not None:
-                    _, cuts, expected = segment(text, learned[name])
+                    _, cuts, expected = segment(text, learned[columns[f]])
                 else:
                     if not doubtful.search(text):
                         _, cuts, expected = segment(text, plain)
                     for w in _key(text).split(" "):
-                        for slot in _word_slots(w):
-                            words[slot] += 1.0
+                        words[w] += 1.0
                 for value, p in expected:
                     key = _key(value)
                     if key:
-                        for slot in _value_slots(key):
-                            values[slot] += p
-                        for slot in _word_slots(_OPENING + key.split(" ", 1)[0]):
-                            words[slot] += p
+                        values[key] += p
+                        words[_OPENING + key.split(" ", 1)[0]] += p
                 for kind, (cut, all_) in cuts.items():
                     k = kinds.setdefault(kind, [0.0, 0.0])
                     k[0] += cut
                     k[1] += all_
-        for name, (values, words, kinds) in sums.items():
-            parts = [("v", np.flatnonzero(values), values), ("w", np.flatnonzero(words), words)]
-            for i, tab in enumerate(("c", "a")):
-                dense = np.array([kinds.get(k, (0.0, 0.0))[i] for k in KINDS])
-                parts.append((tab, np.flatnonzero(dense), dense))
-            for tab, at, dense in parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(at), pa.string()), pa.array([tab] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(dense[at])],
-                    names=["field", "tab", "slot", "n"])
+        for f, (values, words, kinds) in sums.items():
+            parts = [(_VALUE, [_hash(k) for k in values], list(values.values())), (_WORD, [_hash(k) for k in words], list(words.values()))]
+            for i, tab in enumerate((_CUT, _ALL)):
+                parts.append((tab, [KINDS.index(k) for k in kinds], [kinds[k][i] for k in kinds]))
+            for tab, entries, n in parts:
+                for at in range(0, len(entries), 1 << 16):
+                    size = len(entries[at:at + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f] * size, pa.int32()), pa.array([tab] * size, pa.int32()), pa.array(entries[at:at + size], pa.int64()), pa.array(n[at:at + size], pa.float64())],
+                        names=["field", "tab", "entry", "n"])
 
     return run
 
 
-_SLOT_SCHEMA = "field string, tab string, slot int, n double"
-
-
 def _tall(df: DataFrame, columns: list[str]) -> DataFrame:
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).alias("text")) for i, c in enumerate(columns)]))
     return df.select(pairs.alias("x")).select("x.field", "x.text").where(F.col("text").isNotNull())
 
 
-def _gather(tall: DataFrame, models, begin: bool = False) -> dict:
-    """Slot sums of one pass. At most fields * (VALUE_SLOTS + WORD_SLOTS) rows reach the driver, however large the table."""
-    summed = tall.mapInArrow(_count_slots(models, begin), _SLOT_SCHEMA).groupBy("field", "tab", "slot").agg(F.sum("n").alias("n"))
-    out: dict = {}
-    got = summed.toArrow()
-    name, tab, slot, n = (got.column(c).combine_chunks() for c in ("field", "tab", "slot", "n"))
-    name, tab = np.asarray(name.to_pandas()), np.asarray(tab.to_pandas())
-    slot, n = np.asarray(slot), np.asarray(n)
-    for f in set(name.tolist()):
-        mine = name == f
-        part = {}
-        for t, size in (("v", VALUE_SLOTS), ("w", WORD_SLOTS), ("c", len(KINDS)), ("a", len(KINDS))):
-            at = mine & (tab == t)
-            dense = np.zeros(size)
-            dense[slot[at]] = n[at]
-            part[t] = dense
-        out[f] = part
-    return out
+def _counted(tall: DataFrame, columns: list[str], models) -> DataFrame:
+    return tall.mapInArrow(_count(columns, models, False), _COUNT_SCHEMA).groupBy("field", "tab", "entry").agg(F.sum("n").alias("n"))
+
+
+def _model(counts: DataFrame, columns: list[str]) -> tuple[dict[str, SplitModel], DataFrame]:
+    """The M step: models from counts, and the counts as they were written on the way.
+
+    What all entries come to is observed while they are written. At most
+    MOST_VALUES + MOST_WORDS entries a field reach the driver.
+    """
+    seen = Observation()
+    pairs = [(f, tab) for f in range(len(columns)) for tab in (_VALUE, _WORD)]
+    metrics = []
+    for f, tab in pairs:
+        own = (F.col("field") == f) & (F.col("tab") == tab)
+        metrics += [F.sum(F.when(own, F.col("n")).otherwise(0.0)).alias(f"t{f}_{tab}"), F.count_if(own).alias(f"k{f}_{tab}"), F.count_if(own & (F.col("n") < 1.5)).alias(f"s{f}_{tab}")]
+    stored = settle(counts.observe(seen, *metrics), "counts")
+    totals = {p: tuple(seen.get.get(f"{m}{p[0]}_{p[1]}") or 0 for m in "tks") for p in pairs}
+    # A value seen once counts as new, so only those seen more often are held.
+    wanted = F.col("tab") >= _CUT
+    crowded = []
+    for (f, tab), (_, kinds, single) in totals.items():
+        own = (F.col("field") == f) & (F.col("tab") == tab) & (F.col("n") > (1.0 if tab == _VALUE else 0.0))
+        most = MOST_VALUES if tab == _VALUE else MOST_WORDS
+        if kinds - (single if tab == _VALUE else 0) > most:
+            crowded.append(most_frequent(stored.where(own), F.col("n"), most))
+        else:
+            wanted = wanted | own
+    got = reduce(DataFrame.unionByName, crowded, stored.where(wanted)).toArrow()
+    fields, tabs, keys, n = (np.asarray(got.column(c)) for c in ("field", "tab", "entry", "n"))
+    models = {}
+    for f, c in enumerate(columns):
+        held = []
+        for tab in (_VALUE, _WORD):
+            mine = np.flatnonzero((fields == f) & (tabs == tab))
+            order = mine[np.argsort(keys[mine])]
+            held.append(Counts(keys[order], n[order].astype(np.float32), *map(float, totals[f, tab])))
+        cut = SplitModel().cut
+        rows = {(int(k), int(t)): float(x) for k, t, x in zip(keys[fields == f], tabs[fields == f], n[fields == f]) if t >= _CUT}
+        for i, k in enumerate(KINDS):
+            if k in _DOUBTFUL and rows.get((i, _ALL), 0.0) > 0:
+                cut[k] = float(np.clip((rows.get((i, _CUT), 0.0) + 0.01) / (rows[i, _ALL] + 0.02), 1e-5, 1 - 1e-5))
+        models[c] = SplitModel(held[0], held[1], cut)
+    return models, stored
 
 
 def learn_splits(df: DataFrame, columns: list[str], rounds: int = 2) -> dict[str, SplitModel]:
@@ -481,29 +541,15 @@ def learn_splits(df: DataFrame, columns: list[str], rounds: int = 2) -> dict[str
     """
     spark = df.sparkSession
     tall = _tall(df, columns)
-    fixed = _gather(tall, None)
-    models = {c: _maximise(fixed.get(c), None) for c in columns}
+    # Whether the signs in doubt cut is for the later passes to say.
+    models, fixed = _model(_counted(tall, columns, None).where(F.col("tab") < _CUT), columns)
     doubtful = tall.where(F.col("text").rlike(DOUBTFUL_PATTERN))
     for step in range(rounds + 1):
-        found = _gather(doubtful, spark.sparkContext.broadcast(models), begin=step == 0)
-        models = {c: _maximise(fixed.get(c), found.get(c)) for c in columns}
+        found = doubtful.mapInArrow(_count(columns, spark.sparkContext.broadcast(models), step == 0), _COUNT_SCHEMA)
+        models, _ = _model(fixed.unionByName(found).groupBy("field", "tab", "entry").agg(F.sum("n").alias("n")), columns)
     return models
 
 
-def _maximise(fixed, changing) -> SplitModel:
-    values, words = np.zeros(VALUE_SLOTS), np.zeros(WORD_SLOTS)
-    cut = SplitModel().cut
-    for part in (fixed, changing):
-        if part is not None:
-            values += part["v"]
-            words += part["w"]
-    if changing is not None:
-        for i, k in enumerate(KINDS):
-            if k in _DOUBTFUL and changing["a"][i] > 0:
-                cut[k] = float(np.clip((changing["c"][i] + 0.01) / (changing["a"][i] + 0.02), 1e-5, 1 - 1e-5))
-    return SplitModel(values.astype(np.float32), words.astype(np.float32), cut)
-
-
 def split_packed(df: DataFrame, key: str, columns: list[str], tagged: list[str] = (), rounds: int = 2) -> DataFrame:
     """One row per value: ``(key, field, pos, val)``.
 

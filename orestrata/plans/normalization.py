@@ -262,9 +262,12 @@ def _strip(x: str) -> str:
 
 def _tag_sql(table_: str, key: str, column: str) -> str:
     """CTE ``tags`` (key, name, value)."""
-    commas = f"regexp_replace(regexp_replace({column}, '([^0-9]),', '\\1;', 'g'), ',([^0-9])', ';\\1', 'g')"
-    return f"""tags AS (SELECT {key}, lower({_strip("regexp_extract(t, '(?s)^([^:=]*)[:=](.*)$', 1)")}) AS name, {_strip("regexp_extract(t, '(?s)^([^:=]*)[:=](.*)$', 2)")} AS value
-  FROM (SELECT {key}, unnest(regexp_split_to_array(CASE WHEN regexp_matches({column}, '[|;\\t\\r\\n]') THEN {column} ELSE {commas} END, '[|;\\t\\r\\n]+')) AS t FROM {table_}))"""
+    hidden = "chr(57344) || chr(57345) || chr(57346) || chr(57347)"
+    masked = f"""array_to_string(list_transform(string_split({column}, '"'), lambda x, i: CASE WHEN i % 2 = 0 AND i < len(string_split({column}, '"')) AND NOT contains(x, chr(10)) THEN translate(x, '|;' || chr(9) || ',', {hidden}) ELSE x END), '"')"""
+    commas = "regexp_replace(regexp_replace(m, '([^0-9]),', '\\1;', 'g'), ',([^0-9])', ';\\1', 'g')"
+    value = _strip("regexp_extract(t, '(?s)^([^:=]*)[:=](.*)$', 2)")
+    return f"""tags AS (SELECT {key}, lower({_strip("regexp_extract(t, '(?s)^([^:=]*)[:=](.*)$', 1)")}) AS name, translate({value}, {hidden}, '|;' || chr(9) || ',') AS value
+  FROM (SELECT {key}, unnest(regexp_split_to_array(CASE WHEN regexp_matches(m, '[|;\\t\\r\\n]') THEN m ELSE {commas} END, '[|;\\t\\r\\n]+')) AS t FROM (SELECT {key}, {masked} AS m FROM {table_})))"""
 
 
 _TAGS = _tag_sql("gsm", "gsm", "characteristics_ch1").removesuffix(")") + ")"

@@ -15,7 +15,7 @@ def values(text, tagged=False):
     ("'liver, left side', lens", ["liver, left side", "lens"]),
     ("3,4 mM x, lens", ["3,4 mM x", "lens"]),
     ('"a ""b""", c', ['a "b"', "c"]),
-    ("a\\, b, c\; d", ["a, b", "c; d"]),
+    ("a\\, b, c\\; d", ["a, b", "c; d"]),
     ("a;; b ;", ["a", "b"]),
     ("a, b;", ["a", "b"]),
     ("a;a;a", ["a", "a", "a"]),
