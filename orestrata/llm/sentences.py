@@ -13,9 +13,9 @@
    punctuation, or after a token that never closes a paragraph.
 
 The token statistics are exact counts over all documents, added up where the
-documents are. Of them the model keeps every token that makes up at least one
-in ``MOST_TOKENS`` of all occurrences, which are at most that many; rarer ones
-have the corpus's rate, as new ones do.
+documents are. The model holds those of all tokens, or of the ``MOST_TOKENS``
+most frequent where there are more; rarer ones have the corpus's rate, as new
+ones do.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from orestrata.operators.frequent import most_frequent
 from orestrata.session import settle, spread
 
 #: Documents the classifier is trained on, at most.
@@ -683,7 +684,7 @@ def learn(df: DataFrame, text_column: str) -> Model:
     row = summed.agg(*[F.sum(t).alias(t) for t in TABLES]).first()
     sums = np.array([row[t] or 0 for t in TABLES], dtype=np.float64)
     seen = F.col("seen_after") + F.col("seen_before")
-    kept = summed.where(seen * MOST_TOKENS >= F.lit(int(sums[1] + sums[3]))).toArrow()
+    kept = most_frequent(summed, seen, MOST_TOKENS).toArrow()
     keys = np.asarray(kept.column("token"))
     order = np.argsort(keys)
     counts = np.stack([np.asarray(kept.column(t), dtype=np.float32) for t in TABLES], axis=1) if len(keys) else np.zeros((0, 4), dtype=np.float32)

@@ -188,7 +188,7 @@ def test_layout(model, text, units):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aB.!? \n\"“”()«»。「」注ก0;;…-•,"), max_size=120))
 def test_units_are_ordered_and_trimmed(text):
-    model = S.train([], S.Statistics(np.zeros((4, S.STAT_SLOTS), dtype=np.float32)))
+    model = S.train([], S.Statistics.of(S.count_tokens([])))
     spans = S.segment(text, model)
     assert all(a < b and not text[a].isspace() and not text[b - 1].isspace() for a, b in spans)
     assert all(p[1] <= n[0] for p, n in zip(spans, spans[1:]))
