@@ -66,3 +66,63 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: float, price_out: floa
         if not 0 <= p < float("inf"):
             raise ValueError("prices must be finite and not negative")
     return (tokens_in * price_in + tokens_out * price_out) / 1e6
+
+
+#: Depths of the case report.
+POOL_DEPTH, FINAL_DEPTH, MERGED_DEPTH = 40, 10, 200
+
+
+def case_reports(cases: DataFrame, pool: DataFrame, final: DataFrame, qrels: DataFrame) -> DataFrame:
+    """One row per case with everything the aggregate needs.
+
+    ``cases``: (query_id, exact, local_ms, native_ms, reranker_ms, attempted,
+    applied, degraded, tokens_in, tokens_out, n_local, n_native, native_count,
+    expected_count). ``pool`` and ``final``: (query_id, doc_id, rank, source).
+    Cases without a relevant judgment have metrics of 0 and are not ``judged``.
+    """
+    at_pool = query_metrics(pool, qrels, POOL_DEPTH).select("query_id", F.col("recall").alias("recall_at_40"))
+    merged = query_metrics(pool, qrels, MERGED_DEPTH).select("query_id", F.col("recall").alias("merged_recall"))
+    at_final = query_metrics(final.where(F.col("rank") <= FINAL_DEPTH), qrels, FINAL_DEPTH).select("query_id", F.col("ndcg").alias("ndcg_at_10"), F.col("rr").alias("mrr"))
+    judged = qrels.groupBy("query_id").agg((F.max("grade") > 0).alias("judged"))
+    sizes = pool.groupBy("query_id").agg(F.count("*").alias("n_merged"))
+    recovered = final.where(F.col("rank") <= FINAL_DEPTH).groupBy("query_id").agg(F.count_if(F.col("source") == "ncbi").alias("ncbi_only"))
+    out = cases
+    for part in (at_pool, merged, at_final, judged, sizes, recovered):
+        out = out.join(part, "query_id", "left")
+    out = out.na.fill(0, ["recall_at_40", "merged_recall", "ndcg_at_10", "mrr", "n_merged", "ncbi_only"]).na.fill(False, ["judged"])
+    return out.withColumns({
+        "total_ms": total_latency(F.col("exact"), F.col("local_ms"), F.col("native_ms"), F.col("reranker_ms")),
+        "count_differs": F.coalesce(F.col("native_count") != F.col("expected_count"), F.lit(False))})
+
+
+def aggregate(reports: DataFrame, price_in: float = 0.0, price_out: float = 0.0) -> DataFrame:
+    """One row over all cases: means over the judged ones, sums and rates over all, percentiles of latency, pool sizes, tokens and cost."""
+    good = F.col("judged")
+    means = {f"mean_{c}": F.coalesce(F.avg(F.when(good, F.col(c))), F.lit(0.0)) for c in ("recall_at_40", "merged_recall", "ndcg_at_10", "mrr")}
+    sums = {"ncbi_only_recovery": F.sum("ncbi_only"), "count_mismatches": F.count_if("count_differs"), "attempted": F.count_if("attempted"), "applied": F.count_if("applied"),
+            "tokens_in": F.sum("tokens_in"), "tokens_out": F.sum("tokens_out")}
+    rates = {"degradation_rate": F.avg(F.col("degraded").cast("double")), "fallback_rate": F.avg((F.col("attempted") & ~F.col("applied")).cast("double"))}
+    spread_ = {f"latency_p{int(p * 100)}": F.coalesce(F.percentile("total_ms", p), F.lit(0.0)) for p in (0.5, 0.95)}
+    pools = {f"{c}_{f}": agg(c) for c in ("n_local", "n_native", "n_merged") for f, agg in (("mean", F.avg), ("max", F.max))}
+    every = {"n_cases": F.count("*"), "n_judged": F.count_if(good), **means, **sums, **rates, **spread_, **pools}
+    out = reports.agg(*[c.alias(n) for n, c in every.items()])
+    return out.withColumn("cost", cost(F.col("tokens_in"), F.col("tokens_out"), price_in, price_out))
+
+
+def side_by_side(runs: dict[str, DataFrame], k: int = 5) -> DataFrame:
+    """(query_id, mode, rank, one column a model): the first ``k`` documents of runs (query_id, mode, rank, doc_id) next to each other."""
+    tall = None
+    for name, run in runs.items():
+        one = run.where(F.col("rank") <= k).select("query_id", "mode", "rank", F.lit(name).alias("model"), "doc_id")
+        tall = one if tall is None else tall.unionByName(one)
+    return tall.groupBy("query_id", "mode", "rank").agg(*[F.max(F.when(F.col("model") == n, F.col("doc_id"))).alias(n) for n in runs])
+
+
+def overlaps(runs: dict[str, DataFrame], k: int = 5) -> DataFrame:
+    """(query_id, left, right, n_shared) of every two models' first ``k``."""
+    names, out = list(runs), None
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            one = overlap(runs[a], runs[b], k).select("query_id", F.lit(a).alias("left"), F.lit(b).alias("right"), "n_shared")
+            out = one if out is None else out.unionByName(one)
+    return out

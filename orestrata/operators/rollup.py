@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -45,11 +46,16 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def set_audit(declared: DataFrame, actual: DataFrame, key: str, item: str) -> DataFrame:
-    """Per parent: items declared but absent, and present but undeclared."""
-    a = declared.select(key, item).distinct().withColumn("__d", F.lit(1))
-    b = actual.select(key, item).distinct().withColumn("__a", F.lit(1))
-    both = a.join(b, [key, item], "full_outer")
-    return both.groupBy(key).agg(F.count_if(F.col("__a").isNull()).alias("n_missing"), F.count_if(F.col("__d").isNull()).alias("n_undeclared"))
+    """Per parent: items declared more often than present, and present more often than declared, and whether both agree as multisets.
+
+    Children are counted map-side before they meet.
+    """
+    a = declared.groupBy(key, item).agg(F.count("*").alias("__d"))
+    b = actual.groupBy(key, item).agg(F.count("*").alias("__a"))
+    both = a.join(b, [key, item], "full_outer").na.fill(0, ["__d", "__a"])
+    return both.groupBy(key).agg(
+        F.sum(F.greatest(F.col("__d") - F.col("__a"), F.lit(0))).alias("n_missing"), F.sum(F.greatest(F.col("__a") - F.col("__d"), F.lit(0))).alias("n_undeclared"),
+        F.bool_and(F.col("__d") == F.col("__a")).alias("equal"))
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
@@ -66,28 +72,74 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame
     return placed.join(offsets, "__pid").withColumn(name, F.col("__off") + F.col("__at")).drop("__pid", "__at", "__off")
 
 
+def _next_starts(sizes: np.ndarray, most_rows: int, most_bytes: int) -> np.ndarray:
+    """Of every row as the first of a shard, where the next shard begins."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    rows = np.arange(len(sizes))
+    by_bytes = np.searchsorted(upto, upto[:-1] + most_bytes, "right") - 1
+    return np.maximum(rows + 1, np.minimum(rows + most_rows, by_bytes))
+
+
+def _sizes_of(table: pa.Table) -> np.ndarray:
+    return np.maximum(0, np.asarray(table.column("__size").fill_null(0), dtype=np.int64))
+
+
 def shards(df: DataFrame, order: list[str], size: str, most_rows: int, most_bytes: int, block: int = 100_000) -> DataFrame:
-    """``shard``: consecutive rows by ``order`` while count and bytes stay within bounds, as a sequential writer would cut.
+    """``shard``, from 0: consecutive rows by ``order`` while count and bytes stay within bounds, exactly as one sequential writer would cut.
 
-    The order is cut into blocks of equal row count; a block is one task, and a
-    shard never spans two. A row above the byte bound is a shard of its own.
+    The rows are cut into blocks. A shard has at most ``most_rows`` rows, so it
+    can reach into a block by at most so many: each block, with the beginning of
+    the next, says for each of these entries where its last shard ends, and the
+    answers of all blocks (``most_rows`` rows each) are followed from the first.
+    A row above the byte bound is a shard of its own; a null size counts as 0.
     """
+    spark, block = df.sparkSession, max(block, most_rows)
     columns = list(df.columns)
-    placed = numbered(df, order, "__row").withColumn("__block", F.floor(F.col("__row") / block).cast("int"))
+    placed = numbered(df, order, "__row").withColumns({"__block": F.floor(F.col("__row") / block).cast("int"), "__size": F.col(size).cast("long")})
 
-    def pack(key, table):
+    def exits(key, table):
+        table = table.sort_by("__row")
+        rows = np.asarray(table.column("__row"))
+        own = int((rows < (key[0].as_py() + 1) * block).sum())
+        following = _next_starts(_sizes_of(table), most_rows, most_bytes)
+        at, count = np.arange(min(most_rows, own)), np.zeros(min(most_rows, own), dtype=np.int64)
+        while (inside := at < own).any():
+            count[inside] += 1
+            at[inside] = following[at[inside]]
+        n = len(at)
+        return pa.table({"block": pa.array([key[0].as_py()] * n, pa.int32()), "entry": np.arange(n), "exit": at - own, "n": count})
+
+    tall = placed.select("__row", "__size", F.explode(F.when((F.col("__block") > 0) & (F.col("__row") % block < most_rows), F.array("__block", F.col("__block") - 1)).otherwise(F.array("__block"))).alias("part"))
+    jumps = tall.groupBy("part").applyInArrow(exits, "block int, entry long, exit long, n long").toArrow().sort_by([("block", "ascending"), ("entry", "ascending")])
+    starts, entry, number, at = [], 0, 0, 0
+    block_of, exit_of, n_of = (np.asarray(jumps.column(c)) for c in ("block", "exit", "n"))
+    while at < len(block_of):
+        end = at + int(np.searchsorted(block_of[at:], block_of[at], "right"))
+        starts.append((int(block_of[at]), int(entry), int(number)))
+        # An entry behind a short last block lies in no row of it.
+        number, entry = (number + n_of[at + entry], exit_of[at + entry]) if at + entry < end else (number, 0)
+        at = end
+    known = spark.createDataFrame(starts, "__block int, __entry long, __first long")
+
+    def assign(key, table):
         table = table.sort_by("__row")
-        out, shard, rows, total = [], 0, 0, 0
-        for n in table.column(size).to_pylist():
-            n = n or 0
-            if rows and (rows >= most_rows or total + n > most_bytes):
-                shard, rows, total = shard + 1, 0, 0
-            rows, total = rows + 1, total + n
-            out.append(f"{key[0].as_py():05d}-{shard:05d}")
-        return table.select(columns).append_column("shard", pa.array(out, pa.string()))
-
-    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.StringType())])
-    return placed.groupBy("__block").applyInArrow(pack, schema)
+        following = _next_starts(_sizes_of(table), most_rows, most_bytes)
+        begins, at = np.zeros(table.num_rows, dtype=np.int64), table.column("__entry")[0].as_py()
+        while at < table.num_rows:
+            begins[at] = 1
+            at = int(following[at])
+        number = table.column("__first")[0].as_py() - 1 + np.cumsum(begins)
+        return table.select(columns).append_column("shard", pa.array(number))
+
+    schema = T.StructType([*df.schema.fields, T.StructField("shard", T.LongType())])
+    return placed.join(F.broadcast(known), "__block").groupBy("__block").applyInArrow(assign, schema)
+
+
+def shard_digests(sharded: DataFrame, line: str, order: list[str]) -> DataFrame:
+    """(shard, n_rows, n_bytes, digest): of each shard, whose rows are bounded, the SHA-256 of its lines in order."""
+    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(line).alias("__line"))))
+    text = F.array_join(F.transform(rows, lambda r: F.concat(r["__line"], F.lit("\n"))), "")
+    return sharded.groupBy("shard").agg(F.count("*").alias("n_rows"), text.alias("t")).select("shard", "n_rows", F.octet_length("t").alias("n_bytes"), F.sha2("t", 256).alias("digest"))
 
 
 def chunks(df: DataFrame, order: list[str], size: int) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orestrata.plans import normalization, packed, relational, search
+from orestrata.plans import normalization, packed, pipeline, relational, search
 
 
 def modules() -> list:
-    return [packed, search, relational, normalization]
+    return [packed, search, relational, normalization, pipeline]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,8 @@ def overlay_merge(spark, sf_dir):
 
 
 def _newest(name):
-    return [F.col("loaded_at").desc_nulls_last(), F.col("last_update_date").desc_nulls_last(), F.col("title").asc_nulls_last(), F.col("source_name_ch1").asc_nulls_last(), F.col("characteristics_ch1").asc_nulls_last()]
+    """What makes a version of a sample the latest; equals in time go by their texts, so that the order is total."""
+    return [F.col(c) for c in ("loaded_at", "last_update_date", "title", "source_name_ch1", "characteristics_ch1", "gse")]
 
 
 def latest_version(spark, sf_dir):
@@ -109,6 +110,12 @@ def shard_packing(spark, sf_dir):
     return RU.shards(rows, ["id"], "bytes", 1000, 200_000)
 
 
+def shard_digests(spark, sf_dir):
+    """The shards of request lines with their sizes and digests."""
+    rows = _t(spark, sf_dir, "record_ref").select("gse", F.to_json(F.struct("gse", "title")).alias("line"))
+    return RU.shard_digests(RU.shards(rows.withColumn("bytes", F.octet_length("line") + 1), ["gse"], "bytes", 1000, 50_000), "line", ["gse"]).drop("digest")
+
+
 def _runs(spark, sf_dir):
     """Two rankings of series per platform, and graded judgments; all derived from the sample table."""
     pairs = _t(spark, sf_dir, "gsm").where("gpl is not null and gse is not null").groupBy("gpl", "gse").agg(F.count("*").alias("n"), F.countDistinct("molecule_ch1").alias("m"))
@@ -162,13 +169,13 @@ def latency_and_cost(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     rollup_distinct, rollup_two_level, sample_accessions, bridge_join, left_join_coverage, dup_keys, set_equality_audit, anti_join_missing, delta_keys,
-    overlay_merge, latest_version, upsert_batch, hash_sample, chunking, length_buckets, shard_packing, eval_metrics, eval_summary, overlap_at_k,
+    overlay_merge, latest_version, upsert_batch, hash_sample, chunking, length_buckets, shard_packing, shard_digests, eval_metrics, eval_summary, overlap_at_k,
     judgment_places, percentiles, constraint_violations, latency_and_cost)}
 
 _SET = "array_to_string(coalesce(list_sort(list(DISTINCT {c}) FILTER (trim({c}, ' ') <> '')), []), '|') AS {c}"
 _USABLE = "len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY gsm ORDER BY loaded_at DESC NULLS LAST, last_update_date DESC NULLS LAST,
-  title ASC NULLS LAST, source_name_ch1 ASC NULLS LAST, characteristics_ch1 ASC NULLS LAST) AS rn FROM gsm) WHERE rn = 1)"""
+  title DESC NULLS LAST, source_name_ch1 DESC NULLS LAST, characteristics_ch1 DESC NULLS LAST, gse DESC NULLS LAST) AS rn FROM gsm) WHERE rn = 1)"""
 _RUNS = """pairs AS (SELECT gpl, gse, count(*) AS n, count(DISTINCT molecule_ch1) AS m FROM gsm WHERE gpl IS NOT NULL AND gse IS NOT NULL GROUP BY gpl, gse),
 base AS (SELECT gpl AS query_id, gse AS doc_id, row_number() OVER (PARTITION BY gpl ORDER BY n DESC, gse) AS rank_a, row_number() OVER (PARTITION BY gpl ORDER BY m DESC, n DESC, gse) AS rank_b FROM pairs),
 qrels AS (SELECT query_id, doc_id, n_samples % 4 AS grade FROM base JOIN series ON doc_id = gse WHERE n_samples IS NOT NULL)"""
@@ -187,8 +194,15 @@ FROM gsm WHERE molecule_ch1 IS NOT NULL AND gpl IS NOT NULL GROUP BY gse, molecu
     "left_join_coverage": f"""SELECT 'series_384' AS model, (SELECT count(*) FROM series) AS n_docs, (SELECT count(*) FROM series WHERE {_USABLE}) AS n_vectors
 UNION ALL SELECT 'record_ref', (SELECT count(*) FROM series), (SELECT count(*) FROM series WHERE gse IN (SELECT gse FROM record_ref))""",
     "dup_keys": "SELECT gsm, count(*) AS n FROM gsm GROUP BY gsm HAVING count(*) > 1",
-    "set_equality_audit": """WITH d AS (SELECT DISTINCT gse, gpl FROM documents WHERE gse IS NOT NULL AND gpl IS NOT NULL), a AS (SELECT DISTINCT gse, gpl FROM gsm WHERE gse IS NOT NULL AND gpl IS NOT NULL)
-SELECT coalesce(d.gse, a.gse) AS gse, count(*) FILTER (a.gse IS NULL) AS n_missing, count(*) FILTER (d.gse IS NULL) AS n_undeclared FROM d FULL OUTER JOIN a ON d.gse = a.gse AND d.gpl = a.gpl GROUP BY 1""",
+    "set_equality_audit": """WITH d AS (SELECT gse, gpl, count(*) AS n FROM documents WHERE gse IS NOT NULL AND gpl IS NOT NULL GROUP BY ALL), a AS (SELECT gse, gpl, count(*) AS n FROM gsm WHERE gse IS NOT NULL AND gpl IS NOT NULL GROUP BY ALL),
+b AS (SELECT coalesce(d.gse, a.gse) AS gse, coalesce(d.n, 0) AS dn, coalesce(a.n, 0) AS an FROM d FULL OUTER JOIN a ON d.gse = a.gse AND d.gpl = a.gpl)
+SELECT gse, sum(greatest(dn - an, 0))::BIGINT AS n_missing, sum(greatest(an - dn, 0))::BIGINT AS n_undeclared, bool_and(dn = an) AS equal FROM b GROUP BY gse""",
+    "shard_packing": """WITH RECURSIVE r AS (SELECT id, strlen(search_text) AS bytes, row_number() OVER (ORDER BY id) AS rn FROM series),
+c AS (SELECT id, bytes, rn, 0::BIGINT AS shard, 1 AS rows, greatest(coalesce(bytes, 0), 0) AS total FROM r WHERE rn = 1
+  UNION ALL SELECT r.id, r.bytes, r.rn, CASE WHEN c.rows >= 1000 OR c.total + coalesce(r.bytes, 0) > 200000 THEN c.shard + 1 ELSE c.shard END,
+    CASE WHEN c.rows >= 1000 OR c.total + coalesce(r.bytes, 0) > 200000 THEN 1 ELSE c.rows + 1 END,
+    CASE WHEN c.rows >= 1000 OR c.total + coalesce(r.bytes, 0) > 200000 THEN coalesce(r.bytes, 0) ELSE c.total + coalesce(r.bytes, 0) END FROM c JOIN r ON r.rn = c.rn + 1)
+SELECT id, bytes::INT AS bytes, shard FROM c""",
     "anti_join_missing": "SELECT gse FROM series WHERE gse NOT IN (SELECT gse FROM record_ref WHERE gse IS NOT NULL)",
     "delta_keys": f"SELECT DISTINCT gse FROM series WHERE gse NOT IN (SELECT gse FROM record_ref WHERE gse IS NOT NULL) OR last_update_date >= DATE '{CUT}'",
     "overlay_merge": f"""SELECT s.gse, CASE WHEN d.gse IS NOT NULL THEN 'delta' WHEN b.embed_text IS NOT NULL THEN 'base' ELSE 'none' END AS origin,

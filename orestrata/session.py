@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,13 +36,19 @@ def build_session(app: str = "orestrata", cpus: int | str = "*", memory: str = "
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) is a local folder made
-    and used for the rest of the session.
+    Only where the setting is absent and the executors run in this very process
+    (tests, a laptop) is a local folder made; it is used for the rest of the
+    session and removed at its end. On a cluster the setting is required.
     """
     configured = spark.conf.get(_SCRATCH_CONF, None) or spark.sparkContext.getConf().get(_SCRATCH_CONF)
     if not configured:
         known = spark.sparkContext.getCheckpointDir()
-        configured = known or "file://" + tempfile.mkdtemp(prefix="orestrata-")
+        if not known:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError(f"{_SCRATCH_CONF} must name a folder that all executors share")
+            known = "file://" + tempfile.mkdtemp(prefix="orestrata-")
+            atexit.register(shutil.rmtree, known.removeprefix("file://"), ignore_errors=True)
+        configured = known
         spark.conf.set(_SCRATCH_CONF, configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)

@@ -16,6 +16,77 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, key: str) -
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.col(key).isNotNull())
 
 
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """Rows as lines of JSON, added to a folder; the commit makes them visible all at once."""
+    df.write.mode("append").json(path)
+
+
+def read_seen(spark: SparkSession, path: str, schema: str, key: str) -> list[str]:
+    """Keys a folder of JSON lines holds; none before it exists. They come to the driver that crawls, a few bytes each."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema(schema).json(path).where(F.col(key).isNotNull()).select(key).distinct()
+        return rows.toArrow().column(0).to_pylist()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def write_lines(df: DataFrame, path: str, column: str = "value") -> None:
+    """One text column as gzipped lines."""
+    df.select(column).write.option("compression", "gzip").mode("errorifexists").text(path)
+
+
+def inventory(records: DataFrame) -> DataFrame:
+    """(gse, title, embed_text), with ``error`` where a key is missing, ill-formed or repeated."""
+    n = records.groupBy("gse").agg(F.count("*").alias("__n"))
+    error = F.when(~F.coalesce(F.col("gse").rlike("^GSE[1-9][0-9]*$"), F.lit(False)), "bad key").when(F.col("__n") > 1, "repeated key").when(F.trim(F.coalesce("title", F.lit(""))) == "", "no title")
+    return records.join(n, "gse", "left").select("gse", "title", "embed_text", error.alias("error"))
+
+
+def require_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with exactly the columns and types of a contract, in its order; missing, foreign or differing ones are errors."""
+    have, want = {f.name: f.dataType for f in df.schema.fields}, {f.name: f.dataType for f in schema.fields}
+    wrong = sorted(set(have) ^ set(want)) + sorted(n for n in set(have) & set(want) if have[n].simpleString() != want[n].simpleString())
+    if wrong:
+        raise ValueError(f"columns differ from the contract: {wrong}")
+    return df.select(*want)
+
+
+def ensure_table(spark: SparkSession, name: str, schema: T.StructType, revision: str, reset: bool = False) -> bool:
+    """Creates a table of a contract if it isn't there, True if so; one of another revision is an error unless it is to be made anew."""
+    if reset:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if spark.catalog.tableExists(name):
+        held = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+        if held.get("revision") != revision:
+            raise ValueError(f"the table has revision {held.get('revision')!r}")
+        return False
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet TBLPROPERTIES ('revision' = '{revision}')")
+    return True
+
+
+def load_live_queries(path: str, most: int = 100) -> list[dict]:
+    """Queries of a model comparison (query_id, query, intent, filters), each complete and with an id of its own."""
+    out: list[dict] = []
+    with open(path, encoding="utf-8") as lines:
+        for n, line in enumerate(lines, 1):
+            if not line.strip():
+                continue
+            case = json.loads(line)
+            if set(case) - {"query_id", "query", "intent", "filters"} or any(not str(case.get(k, "")).strip() for k in ("query_id", "query", "intent")):
+                raise ValueError(f"line {n}: bad fields")
+            if any(case["query_id"] == c["query_id"] for c in out):
+                raise ValueError(f"line {n}: repeated id")
+            out.append(case)
+    if not 1 <= len(out) <= most:
+        raise ValueError("no queries, or too many")
+    return out
+
+
 def read_records(spark: SparkSession, root: str) -> DataFrame:
     """Canonical records of a tree of JSON files, with ``error`` where the file name and the key differ or a key repeats."""
     raw = spark.read.schema(RECORD).option("recursiveFileLookup", "true").option("multiLine", "true").json(root).withColumn("__file", F.col("_metadata.file_name"))
@@ -91,9 +162,14 @@ def batch_results(responses: DataFrame, expected: DataFrame, dims: int) -> DataF
 
 def write_report(report: dict, path: str) -> None:
     """A small report as JSON, visible only when complete."""
+    write_text(json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True), path)
+
+
+def write_text(text: str, path: str) -> None:
+    """A small text, visible only when complete."""
     partial = f"{path}.part"
     with open(partial, "w", encoding="utf-8") as out:
-        json.dump(report, out, ensure_ascii=False, indent=2, sort_keys=True)
+        out.write(text)
         out.flush()
         os.fsync(out.fileno())
     os.replace(partial, path)
@@ -109,3 +185,16 @@ def markdown_table(df: DataFrame, most_rows: int = 1000, cell: int = 120) -> str
 
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join(map(text, r)) + " |" for r in rows)])
+
+
+def comparison_report(side_by_side: DataFrame, overlaps: DataFrame, queries: list[dict]) -> str:
+    """A deterministic Markdown report of a model comparison: per query the models' documents by mode, then what they share."""
+    lines = ["# Comparison of models"]
+    for q in queries:
+        lines += ["", f"## Query: {q['query_id']}", "", f"**Search:** {' '.join(q['query'].split())}"]
+        for mode in [r.mode for r in side_by_side.where(F.col("query_id") == q["query_id"]).select("mode").distinct().orderBy("mode").collect()]:
+            own = side_by_side.where((F.col("query_id") == q["query_id"]) & (F.col("mode") == mode)).drop("query_id", "mode").orderBy("rank")
+            lines += ["", f"### {mode}", "", markdown_table(own)]
+        shared = overlaps.where(F.col("query_id") == q["query_id"]).drop("query_id").orderBy("left", "right")
+        lines += ["", "### Shared", "", markdown_table(shared)]
+    return "\n".join(lines) + "\n"

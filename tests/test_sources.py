@@ -15,6 +15,7 @@ from orestrata.streaming.sinks import LedgerSink, bulk_report
 GOOD = """^DATABASE = GeoMiame
 !Database_name = x
 ^SERIES = GSE1
+!Series_geo_accession = GSE1
 !Series_title = table-bearing study of 10x Genomics cells
 !Series_summary = one
 !Series_summary = two
@@ -29,12 +30,14 @@ ID_REF\tlog fold change
 !series_table_end
 ignored line
 ^SAMPLE = GSM11
+!Sample_geo_accession = GSM11
 !Sample_title = first
 !Sample_organism_ch1 = Homo sapiens
 !Sample_characteristics_ch1 = sex: female
 !Sample_characteristics_ch1 = disease: status: active
 !Sample_characteristics_ch1 = plain
 ^SAMPLE = GSM2
+!Sample_geo_accession = GSM2
 !Sample_title = second
 !Sample_organism_ch1 = Homo sapiens
 !Sample_characteristics_ch1 = gender: F
@@ -70,6 +73,45 @@ def test_errors_stay_with_their_file(spark, tmp_path):
     assert got["GSE2_x.soft"].title is None
 
 
+@pytest.mark.parametrize(("old", "new", "error"), [
+    ("^SAMPLE = GSM2", "^SAMPLE", "malformed header"), ("^SAMPLE = GSM2", "^THING = GSM2", "unknown block"), ("!Series_summary = one", "! = one", "malformed attribute"),
+    ("!Series_geo_accession = GSE1\n", "", "no series accession"), ("!Series_geo_accession = GSE1", "!Series_geo_accession = GSE7", "series accession differs"),
+    ("!Series_title = table", "!Series_other = table", "no series title"), ("!Sample_geo_accession = GSM2\n", "", "no sample accession"),
+    ("!Sample_geo_accession = GSM2", "!Sample_geo_accession = GSM3", "sample accession differs"), ("!Sample_title = second", "!Sample_title = ", "sample without title"),
+    ("!Series_sample_id = GSM2", "!Series_sample_id = GSM2\n!Series_sample_id = GSM2", "declared samples differ"),
+    ("^SAMPLE = GSM11", "^PLATFORM = GPL1\n!Platform_title = x\n^SAMPLE = GSM11", "no platform accession"), ("^SAMPLE = GSM11", "^SERIES = GSE1\n^SAMPLE = GSM11", "not exactly one study block")])
+def test_kinds_of_errors(spark, old, new, error):
+    assert old in GOOD
+    files = spark.createDataFrame([("GSE1_family.soft.gz", GOOD.replace(old, new, 1), None)], "file string, text string, error string")
+    assert soft.parse_records(files).first().error == error
+
+
+def test_files_are_streamed(spark, tmp_path):
+    big = GOOD + "^SAMPLE = GSM2\n" + "row\n" * 300_000
+    (tmp_path / "GSE1_family.soft.gz").write_bytes(gzip.compress(GOOD.encode()))
+    (tmp_path / "GSE2_family.soft.gz").write_bytes(gzip.compress(big.encode()))
+    (tmp_path / "GSE3_family.soft.gz").write_bytes(gzip.compress(GOOD.encode() + b"\xff\n"))
+    got = {r.file.rsplit("/", 1)[1][:4]: r for r in soft.records_of(soft.stream_blocks(spark, str(tmp_path))).collect()}
+    assert got["GSE1"].error is None and got["GSE1"].n_samples == 2
+    assert got["GSE2"].error == "file names another study" and got["GSE3"].error == "not UTF-8"
+
+
+def test_reconstruction(spark):
+    raw = "^SERIES = GSE1\n!Series_title = t\n^SAMPLE = GSM1\n!sample_table_begin\nx\n!sample_table_end"
+    good = raw.split("!sample_table_begin")[0].rstrip("\n")
+    stripped = spark.createDataFrame([("GSE1", good), ("GSE2", good), ("GSE3", "x")], "gse string, text string")
+    kept = spark.createDataFrame([("GSE1", raw), ("GSE3", raw)], "gse string, text string")
+    got = soft.reconstruction(stripped, kept)
+    assert {(r.gse, r.checked, r.differs) for r in got.collect()} == {("GSE1", True, False), ("GSE2", False, False), ("GSE3", True, True)}
+    assert tuple(soft.validation_outcomes(got).first()) == (3, 2, 2, 1)
+
+
+def test_long_files_take_linear_time(spark):
+    text = "!sample_table_begin\n" + "a\tb\n" * 200_000 + "!sample_table_end\nkept\n"
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(soft.strip_tables(F.col("t"))).first()[0] == "kept\n"
+
+
 def test_strip_tables(spark):
     text = "a\n!sample_table_begin\nx\n!platform_table_begin\n!series_matrix_table_end\nb\n!sample_table_end\n!series_table_begin\nkeep\n!series_table_end"
     df = spark.createDataFrame([(text,)], "t string")
@@ -143,18 +185,50 @@ def test_paged_source(spark, tmp_path):
 
 def test_log_parse(spark):
     lines = ['{"event":"a","level":"info","logger":"svc.x","message":"password=hunter2 ok","event_id":"1","timestamp":"2024-01-01T00:00:00Z"}',
-             "Bearer abc plain", '{"route":"/health","status_code":200}', '{"route":"/health","status_code":500}', '{"logger":"noise.a"}', "{broken", "x" * 100]
+             "Bearer abc plain", '{"event":"request.completed","method":"GET","route":"/healthz","status_code":200}',
+             '{"event":"request.completed","method":"GET","route":"/healthz","status_code":500}', '{"event":"x","method":"POST","route":"/ready","status_code":201}', '{"logger":"noise.a"}', "{broken", "x" * 100]
     df = spark.createDataFrame([(x,) for x in lines] + [(None,)], "value string")
     got = L.parse(df, excluded=("noise.",), most_bytes=200).collect()
     messages = {r.message for r in got}
     assert "password=[REDACTED] ok" in messages and "Bearer [REDACTED] plain" in messages and "{broken" in messages
     assert all(r.event_id and r.level for r in got) and not any(r.logger == "noise.a" for r in got)
-    assert sum(r.route == "/health" for r in got) == 1
-
+    assert sum(r.route == "/healthz" for r in got) == 1 and sum(r.route == "/ready" for r in got) == 1
+
+
+def test_nested_secrets_and_unknown_fields(spark):
+    event = {"request": {"Authorization": "x", "list": [{"Set-Cookie": "sid=1"}, "api-key: k1, left"], "n": 3}, "note": 'password="a b" end', "extra": None}
+    df = spark.createDataFrame([(json.dumps(event),), ("{}",), ('{"p\\u0061ssword": "zz"}',)], "value string")
+    bodies = [json.loads(r.body) for r in L.parse(df).collect()]
+    assert bodies[0]["request"] == {"Authorization": "[REDACTED]", "list": [{"Set-Cookie": "[REDACTED]"}, "api-key: [REDACTED], left"], "n": 3}
+    assert bodies[0]["note"] == "password=[REDACTED] end" and bodies[0]["extra"] is None
+    assert all({"event_id", "timestamp", "level", "logger"} <= set(b) for b in bodies)
+    assert bodies[2]["password"] == "[REDACTED]"
+
+
+def test_queue_and_retries():
+    now = [0.0]
+    q = L.EventQueue(2, 10, clock=lambda: now[0])
+    assert [q.put(x) for x in (b"aaaa", b"bbbb", b"c")] == [True, True, False] and q.drops() == 1
+    q.put(b"cccc")
+    assert q.drops() == 0 and q.take(1) == [b"aaaa"]
+    now[0] = 61.0
+    assert q.drops() == 1 and q.take() == [b"bbbb"] and q.take() == []
+    waits, left = [], [2]
+
+    def send(payload):
+        left[0] -= 1
+        if left[0] >= 0:
+            raise ConnectionError()
+
+    assert L.with_retries(send, wait=waits.append)(b"x") and waits == [1.0, 2.0]
+    left[0] = 99
+    assert not L.with_retries(send, attempts=3, wait=waits.append)(b"x")
+    payloads = list(L.NdjsonSink(print, 2, 12).payloads(["a" * 4, "b" * 4, "c" * 4, "d" * 50]))
+    assert [p.count(b"\n") for p in payloads] == [2, 1, 1]
+    for bad in ("ftp://x/y", "x"):
+        with pytest.raises(ValueError):
+            L.http_sender(bad)
 
-def test_redact_map(spark):
-    df = spark.createDataFrame([({"Authorization": "x", "note": "token=abc"},)], "m map<string,string>")
-    assert df.select(L.redact_map(F.col("m"))).first()[0] == {"Authorization": "[REDACTED]", "note": "token=[REDACTED]"}
 
 
 def test_ledger_sink_is_idempotent(spark, tmp_path):
