@@ -165,17 +165,24 @@ def p7_shares_at_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each mix: sources asked for, documents used too often, of another source, twice, and whether every source of which there is any comes within 0.02 of its weight."""
-    selection, shares = _mixed(spark, sf_dir)
+    """Of each mix: sources asked for, documents used too often, of another source, twice, and whether every source of which there is any has its weight.
+
+    It has if it is off by at most 0.02 and the size of one of its usual
+    documents; what a source without documents leaves is dealt among others.
+    """
+    sized = settle(_sized(spark, sf_dir), "tokens")
+    selection, shares = mix(sized, table(spark, sf_dir, "mix_target"), domains=DOMAINS)
     targets = table(spark, sf_dir, "mix_target").select("mix_id", "source", "max_repeats")
     chosen = settle(selection, "chosen")
     used = chosen.join(targets, ["mix_id", "source"], "left").groupBy("mix_id").agg(
         F.count_if(F.col("times") > F.col("max_repeats")).alias("n_too_often"), F.count_if(F.col("max_repeats").isNull()).alias("n_foreign"),
         (F.count("*") - F.countDistinct("id")).alias("n_twice"))
-    # What a source without documents leaves is dealt among those of its domain.
-    missed = F.max(F.when(F.col("available") > 0, F.abs(F.col("share") - F.col("weight")) - F.col("left"))) <= 0.02
-    left = F.sum(F.when(F.col("available") == 0, F.col("weight")).otherwise(0.0)).over(Window.partitionBy("mix_id"))
-    return shares.withColumn("left", left).groupBy("mix_id").agg(F.count("*").alias("n_sources"), missed.alias("close")).join(used, "mix_id")
+    usual = sized.where("tokens > 0").groupBy("source").agg(F.avg("tokens").alias("usual"))
+    whole = Window.partitionBy("mix_id")
+    rows = shares.join(usual, "source", "left").withColumns({
+        "left": F.sum(F.when(F.col("available") == 0, F.col("weight")).otherwise(0.0)).over(whole), "all": F.sum("tokens").over(whole)})
+    off = F.abs(F.col("share") - F.col("weight")) - F.col("left") - F.col("usual") / F.col("all")
+    return rows.groupBy("mix_id").agg(F.count("*").alias("n_sources"), (F.max(F.when(F.col("available") > 0, off)) <= 0.02).alias("close")).join(used, "mix_id")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
