@@ -22,7 +22,7 @@ from orestrata.operators import facets as FC
 from orestrata.operators.filters import FACETS, Filters, unknown_values
 from orestrata.operators.retrieval import Searcher, Settings, hydrate
 
-#: Name of the search side's contract and of the accession route.
+#: Fixed value: name of the search side's contract, as versions state it.
 REVISION = "geo-series-v1"
 #: The most bytes of a scorer's input and what its compact form keeps.
 MOST_PAYLOAD = 1_000_000
