@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: White space as Unicode knows it, for Java's engine.
@@ -149,20 +148,12 @@ def redacted_value(value):
     return value
 
 
-def redacted_json(line: Column) -> Column:
-    """A JSON object redacted throughout, null for anything else. Lines without a suspect word stay in the JVM."""
-    @F.pandas_udf("string")
-    def run(lines: pd.Series) -> pd.Series:
-        import json
+def redacted_object(line: str) -> str | None:
+    """A JSON object redacted throughout, null for anything else."""
+    import json
 
-        def one(x):
-            try:
-                value = json.loads(x) if x is not None else None
-            except (ValueError, RecursionError):
-                return None
-            return json.dumps(redacted_value(value), ensure_ascii=False, separators=(",", ":")) if isinstance(value, dict) else None
-
-        return lines.map(one)
-
-    suspect = line.rlike(SUSPECT)
-    return F.when(suspect, run(F.when(suspect, line))).otherwise(line)
+    try:
+        value = json.loads(line)
+    except (ValueError, RecursionError):
+        return None
+    return json.dumps(redacted_value(value), ensure_ascii=False, separators=(",", ":")) if isinstance(value, dict) else None

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import time
 from collections import deque
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from orestrata.functions.text import any_of, redacted, redacted_json
+from orestrata.functions.text import SUSPECT, any_of, redacted, redacted_object
 from orestrata.operators.rollup import shards
 
 EVENT = "event string, level string, logger string, message string, event_id string, timestamp string, method string, route string, status_code int"
@@ -25,9 +27,9 @@ def parse(lines: DataFrame, excluded: tuple[str, ...] = (), most_bytes: int = 64
     Lines above ``most_bytes``, loggers with an excluded prefix and successful
     health checks are dropped; null lines give no event.
     """
-    small = lines.where(F.octet_length("value") <= most_bytes)
-    shaped = F.startswith(F.ltrim("value"), F.lit("{")) & F.json_object_keys("value").isNotNull()
-    e = small.select("value", F.when(shaped, redacted_json(F.col("value"))).alias("__safe"))
+    e = _safe(lines.where(F.octet_length("value") <= most_bytes).select("value"))
+    whole = F.startswith(F.ltrim("value"), F.lit("{")) & F.json_object_keys("value").isNotNull()
+    e = e.select("value", F.when(F.col("__suspect"), F.col("__safe")).when(whole, F.col("value")).alias("__safe"))
     e = e.withColumns({
         "__j": F.from_json("__safe", EVENT), "__given": F.coalesce(F.json_object_keys("__safe"), F.array().cast("array<string>")),
         "__id": F.sha2("value", 256), "__now": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")})
@@ -50,6 +52,24 @@ def parse(lines: DataFrame, excluded: tuple[str, ...] = (), most_bytes: int = 64
     return out.where(~healthy(F.col("event"), F.col("method"), F.col("route"), F.col("status_code")))
 
 
+def _safe(lines: DataFrame) -> DataFrame:
+    """(value, __suspect, __safe): whether a line may hold a secret, and if so the redacted object, null where it is none.
+
+    One pass in batches, so that no later expression runs it again; other lines aren't parsed here.
+    """
+
+    def run(batches):
+        suspect = re.compile(SUSPECT)
+        for batch in batches:
+            flags, safe = [], []
+            for line in batch.column(0).to_pylist():
+                flags.append(line is not None and suspect.search(line) is not None)
+                safe.append(redacted_object(line) if flags[-1] else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.bool_()), pa.array(safe, pa.string())], names=["value", "__suspect", "__safe"])
+
+    return lines.mapInArrow(run, "value string, __suspect boolean, __safe string")
+
+
 def healthy(event: Column, method: Column, route: Column, status: Column) -> Column:
     """A completed health check that succeeded. The event, the method and the route."""
     return F.coalesce((event == "request.completed") & (method == "GET") & (route == "/healthz") & (status >= 200) & (status < 300), F.lit(False))
@@ -206,8 +226,6 @@ def admit(events: DataFrame, key: str, ts: str, rate: float, burst: float, tie:
     task, but as a sorted stream of batches of which only the bucket's fill is
     kept. Events of one time go by ``tie``. A null time counts as the earliest.
     """
-    import pyarrow as pa
-
     order = [key, ts] + ([tie] if tie else [])
     rows = events.select(*dict.fromkeys(order)).repartition(F.col(key)).sortWithinPartitions(*order)
     micros = F.unix_micros(F.col(ts).cast("timestamp")).alias("__at")
