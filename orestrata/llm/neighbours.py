@@ -5,7 +5,9 @@ and shifted once for each ordering, and its place on a Hilbert curve through
 the projected space is its key. Each ordering is cut into ranges of keys; every
 vector is compared with the window of its neighbours along the curve, across
 the borders of its range, and the lists of all orderings are merged and
-reranked by cosine. The number of orderings grows with the table.
+reranked by cosine. The number of orderings grows with the table; they are
+worked on in rounds, of which each leaves the k best so far and nothing else,
+so what lies on disk at once doesn't grow with their number.
 
 Vectors travel as unit vectors in half precision: a cosine is off by about
 2e-5 at most, and no list of ids or vectors reaches the driver but the sample.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from orestrata.functions.vectors import usable_rows
-from orestrata.session import settle
+from orestrata.session import discard, dropping_shuffles, settle
 
 #: Rows the projection is fitted on, at most.
 SAMPLE_ROWS = 8192
@@ -29,6 +31,9 @@ SAMPLE_ROWS = 8192
 #: Ranges that one task works on; the rows it only compares with are about window/2 at either end.
 RANGES_A_TASK = 4
 
+#: Orderings that are shuffled at once; each holds a copy of the vectors.
+CURVES_A_ROUND = 3
+
 #: Sampled keys for each half window, from which the borders of the ranges are taken.
 KEYS_A_HALF = 128
 
@@ -98,9 +103,9 @@ class Projection:
     high: np.ndarray
     shift: np.ndarray
 
-    def keys(self, x: np.ndarray, bits: int) -> list[np.ndarray]:
+    def keys(self, x: np.ndarray, bits: int, orderings=None) -> list[np.ndarray]:
         out = []
-        for o in range(len(self.directions)):
+        for o in range(len(self.directions)) if orderings is None else orderings:
             y = (x @ self.directions[o] - self.low[o]) / (self.high[o] - self.low[o])
             cells = np.clip(((y + self.shift[o]) / 2.0) * (1 << bits), 0, (1 << bits) - 1)
             out.append(hilbert_keys(cells.astype(np.int64), bits))
@@ -157,12 +162,12 @@ class Ranges:
         return at.astype(np.int32)
 
 
-def _cut_ranges(base: DataFrame, projection, dims: int, curves: Curves) -> Ranges:
+def _cut_ranges(vectors: DataFrame, projection, dims: int, curves: Curves) -> Ranges:
     """Borders from the keys of a part of the rows, chosen by the hash of the id; of n rows about n * KEYS_A_HALF / (window / 2) reach the driver."""
     half = max(1, curves.window // 2)
     every = max(1, half // KEYS_A_HALF)
     schema = "id long, " + ", ".join(f"key{o} long" for o in range(curves.orderings))
-    part = base.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    part = vectors.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
     got = part.mapInArrow(_keyed(projection, dims, curves.bits), schema).toArrow()
     # Somewhat more than half a window, as the sample is only a part.
     bin_rows = half + half // 8
@@ -179,40 +184,66 @@ def _cut_ranges(base: DataFrame, projection, dims: int, curves: Curves) -> Range
     return Ranges(count, per, keys_at, ids_at)
 
 
-def _keyed(projection, dims: int, bits: int, ranges=None):
-    """Id and keys of the usable rows; given the ranges, id, half-precision vector, keys and bins."""
+def _halved(dims: int):
+    """Id and half-precision unit vector of the usable rows."""
 
     def run(batches):
-        fitted = projection.value
         for batch in batches:
             at, x = unit_rows(batch.column(1), dims)
             if not len(at):
                 continue
-            ids = batch.column(0).take(pa.array(at))
-            keys = fitted.keys(x, bits)
-            named = {"id": ids, **{f"key{o}": pa.array(k) for o, k in enumerate(keys)}}
-            if ranges is not None:
-                size = dims * 2
-                offsets = pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * size)
-                flat = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(x.astype(np.float16).tobytes())])
-                plain = np.asarray(ids)
-                bins = {f"bin{o}": pa.array(ranges.value.bins(o, k, plain)) for o, k in enumerate(keys)}
-                named = {"id": ids, "vec": flat, **{n: c for n, c in named.items() if n != "id"}, **bins}
-            yield pa.RecordBatch.from_arrays(list(named.values()), names=list(named))
+            offsets = pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * (dims * 2))
+            flat = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(x.astype(np.float16).tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), flat], names=["id", "vec"])
 
     return run
 
 
-def _dealt(keyed: DataFrame, o: int, ranges: Ranges) -> DataFrame:
-    """(id, vec, own) along one ordering, a partition for each range: its own rows, and those of the bin before and after it."""
-    own, place = F.floor(F.col(f"bin{o}") / ranges.per).cast("int"), F.pmod(F.col(f"bin{o}"), F.lit(ranges.per))
-    parts = F.array_compact(F.array(own, F.when((place == 0) & (own > 0), own - 1), F.when((place == ranges.per - 1) & (own < ranges.count - 1), own + 1)))
-    spread_out = keyed.select("id", "vec", F.col(f"key{o}").alias("key"), own.alias("at"), F.explode(parts).alias("part"))
-    return spread_out.repartitionById(ranges.count, F.col("part")).sortWithinPartitions("key", "id").select("id", "vec", (F.col("part") == F.col("at")).alias("own"))
+def _whole(column: pa.Array, dims: int) -> np.ndarray:
+    """Half-precision vectors as rows of single precision."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float16).reshape(-1, dims).astype(np.float32)
+
+
+def _keyed(projection, dims: int, bits: int):
+    """Id and keys of all orderings."""
+
+    def run(batches):
+        fitted = projection.value
+        for batch in batches:
+            keys = fitted.keys(_whole(batch.column(1), dims), bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, keys)], names=["id", *[f"key{o}" for o in range(len(keys))]])
+
+    return run
+
 
+def _placed(projection, dims: int, bits: int, ranges, orderings: range):
+    """Every row once for each ordering and each range that reads it: its own, and the one before or after it if its bin is next to that."""
 
-def window_lists(x: np.ndarray, ids: np.ndarray, k: int, window: int, step: int = 512, begin: int = 0, end: int | None = None):
-    """For curve-sorted unit vectors from ``begin`` to ``end``: (positions, neighbour ids, cosines) of each step, best first within the window."""
+    def run(batches):
+        fitted, cut = projection.value, ranges.value
+        for batch in batches:
+            ids = np.asarray(batch.column(0))
+            for j, (o, key) in enumerate(zip(orderings, fitted.keys(_whole(batch.column(1), dims), bits, orderings))):
+                at, place = np.divmod(cut.bins(o, key, ids), cut.per)
+                before = np.flatnonzero((place == 0) & (at > 0))
+                after = np.flatnonzero((place == cut.per - 1) & (at < cut.count - 1))
+                rows = np.concatenate([np.arange(len(ids)), before, after])
+                part = np.concatenate([at, at[before] - 1, at[after] + 1]) + j * cut.count
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.astype(np.int32)), pa.array(key[rows]), pa.array(ids[rows]), batch.column(1).take(pa.array(rows)), pa.array(np.arange(len(rows)) < len(ids))],
+                    names=["part", "key", "id", "vec", "own"])
+
+    return run
+
+
+def _dealt(vectors: DataFrame, projection, dims: int, bits: int, shared, orderings: range) -> DataFrame:
+    """(id, vec, own) along these orderings, a partition for each range of each: its own rows, and those of the bin before and after it."""
+    placed = vectors.mapInArrow(_placed(projection, dims, bits, shared, orderings), "part int, key long, id long, vec binary, own boolean")
+    return placed.repartitionById(len(orderings) * shared.value.count, F.col("part")).sortWithinPartitions("key", "id").select("id", "vec", "own")
+
+
+def window_lists(x: np.ndarray, ids: np.ndarray, k: int, window: int, step: int = 512, begin: int = 0, end: int | None = None, least: float = -2.0):
+    """For curve-sorted unit vectors from ``begin`` to ``end``: (positions, neighbour ids, cosines) of the k best of each within its window, cosines below ``least`` left out."""
     n, step = len(x), min(step, max(1, window // 2))
     end = n if end is None else end
     for a in range(begin, end, step):
@@ -224,20 +255,28 @@ def window_lists(x: np.ndarray, ids: np.ndarray, k: int, window: int, step: int
         take = min(k, hi - lo - 1)
         if take < 1:
             continue
+        if least > -1.0:
+            close = np.flatnonzero(s >= least)
+            if len(close) <= k * (b - a):  # no need to look for the best among all
+                rows, near = np.divmod(close, hi - lo)
+                near, score = ids[lo + near], s.ravel()[close]
+                best, _ = best_of(rows, near, score, k)
+                yield a + rows[best], near[best], score[best]
+                continue
         top = np.argpartition(-s, take - 1, axis=1)[:, :take]
         score = np.take_along_axis(s, top, axis=1)
         # Of equals at the last place any may have been taken: there the smallest ids are chosen.
-        least = score.min(axis=1)
-        tied = np.flatnonzero((s >= least[:, None]).sum(axis=1) > take)
+        last = score.min(axis=1)
+        tied = np.flatnonzero((s >= last[:, None]).sum(axis=1) > take)
         for r in tied.tolist():
-            at = np.flatnonzero(s[r] >= least[r])
+            at = np.flatnonzero(s[r] >= last[r])
             at = at[np.lexsort((ids[lo + at], -s[r, at]))[:take]]
             top[r], score[r] = at, s[r, at]
-        order = np.lexsort((ids[lo + top], -score), axis=1)
-        yield slice(a, b), ids[lo + np.take_along_axis(top, order, axis=1)], np.take_along_axis(score, order, axis=1)
+        held = score.ravel() >= least
+        yield np.repeat(np.arange(a, b), take)[held], ids[lo + top].ravel()[held], score.ravel()[held]
 
 
-def _neighbour_lists(k: int, dims: int, window: int):
+def _neighbour_lists(k: int, dims: int, window: int, least: float):
     def run(batches):
         ids, parts, own = [], [], []
         for batch in batches:
@@ -252,16 +291,20 @@ def _neighbour_lists(k: int, dims: int, window: int):
         mine = np.flatnonzero(np.concatenate(own))
         if not len(mine):
             return
-        for rows, near, score in window_lists(x, ids, k, window, begin=int(mine[0]), end=int(mine[-1]) + 1):
-            width = near.shape[1]
-            offsets = pa.array(np.arange(near.shape[0] + 1, dtype=np.int32) * width)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows]), pa.ListArray.from_arrays(offsets, pa.array(near.ravel())), pa.ListArray.from_arrays(offsets, pa.array(score.ravel()))],
-                names=["id", "near", "score"])
+        for at, near, score in window_lists(x, ids, k, window, begin=int(mine[0]), end=int(mine[-1]) + 1, least=least):
+            yield _lists(ids, at, near, score)
 
     return run
 
 
+def _lists(ids: np.ndarray, at: np.ndarray, near: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """(id, near, score), a row for each run of equal positions."""
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, dtype=np.int64)
+    offsets = pa.array(np.r_[starts, len(at)].astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[at[starts]]), pa.ListArray.from_arrays(offsets, pa.array(near)), pa.ListArray.from_arrays(offsets, pa.array(score, pa.float32()))], names=["id", "near", "score"])
+
+
 def best_of(rows: np.ndarray, near: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, ranks) of the k best of each row: every neighbour once with its best score, ties by the smaller neighbour."""
     order = np.lexsort((-score, near, rows))
@@ -283,10 +326,8 @@ def _merge(k: int):
             outer = np.asarray(batch.column(1).value_lengths())
             rows = np.repeat(np.repeat(np.arange(batch.num_rows), outer), inner)
             near, score = np.asarray(lists[0].flatten()), np.asarray(lists[1].flatten())
-            at, rank = best_of(rows, near, score, k)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows[at])), pa.array(near[at]), pa.array(score[at], pa.float32()), pa.array(rank.astype(np.int32))],
-                names=["id", "neighbour", "cosine", "rank"])
+            at, _ = best_of(rows, near, score, k)
+            yield _lists(np.asarray(batch.column(0)), rows[at], near[at], score[at])
 
     return run
 
@@ -358,14 +399,15 @@ def verified(near: DataFrame, df: DataFrame, id_column: str, vector_column: str,
     return clear.unionByName(exact)
 
 
-def most_similar(df: DataFrame, id_column: str, vector_column: str, k: int = 10, dims: int = 384, curves: Curves = Curves()) -> DataFrame:
+def most_similar(df: DataFrame, id_column: str, vector_column: str, k: int = 10, dims: int = 384, curves: Curves = Curves(), least: float = -2.0) -> DataFrame:
     """(id, neighbour, cosine, rank): the k most similar vectors of every usable vector.
 
     Usable are vectors of ``dims`` finite numbers that are not all zero; others,
     and null ids, give no row and are nobody's neighbour. Ties go to the smaller
     id. Rows with a repeated id are vectors of their own but not neighbours of
     themselves twice: per id the best cosine counts. With fewer than k + 1
-    vectors all others are listed.
+    vectors all others are listed. Of these k, cosines below ``least`` may be
+    asked to be left out, which saves looking for them.
     """
     spark = df.sparkSession
     base = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<float>").alias("vec")).where(F.col("id").isNotNull())
@@ -375,13 +417,19 @@ def most_similar(df: DataFrame, id_column: str, vector_column: str, k: int = 10,
     if not len(sample):
         sample = np.eye(dims, dtype=np.float32)[:2]
     projection = spark.sparkContext.broadcast(fit_projection(sample, curves))
-    ranges = _cut_ranges(base, projection, dims, curves)
-    orderings = range(curves.orderings)
-    schema = "id long, vec binary, " + ", ".join([*[f"key{o} long" for o in orderings], *[f"bin{o} int" for o in orderings]])
-    keyed = settle(base.mapInArrow(_keyed(projection, dims, curves.bits, spark.sparkContext.broadcast(ranges)), schema), "keyed")
-    lists = None
-    for o in orderings:
-        one = _dealt(keyed, o, ranges).mapInArrow(_neighbour_lists(k, dims, curves.window), "id long, near array<long>, score array<float>")
-        lists = one if lists is None else lists.unionByName(one)
-    gathered = lists.groupBy("id").agg(F.collect_list("near").alias("near"), F.collect_list("score").alias("score"))
-    return gathered.mapInArrow(_merge(k), "id long, neighbour long, cosine float, rank int").where("id <> neighbour")
+    vectors = settle(base.mapInArrow(_halved(dims), "id long, vec binary"), "vectors")
+    shared = spark.sparkContext.broadcast(_cut_ranges(vectors, projection, dims, curves))
+    schema = "id long, near array<long>, score array<float>"
+    best = None
+    with dropping_shuffles(spark):
+        for first in range(0, curves.orderings, CURVES_A_ROUND):
+            orderings = range(first, min(curves.orderings, first + CURVES_A_ROUND))
+            lists = _dealt(vectors, projection, dims, curves.bits, shared, orderings).mapInArrow(_neighbour_lists(k, dims, curves.window, least), schema)
+            every = lists if best is None else lists.unionByName(best)
+            gathered = every.groupBy("id").agg(F.collect_list("near").alias("near"), F.collect_list("score").alias("score"))
+            before, best = best, settle(gathered.mapInArrow(_merge(k), schema), "best")
+            if before is not None:
+                discard(before)
+    discard(vectors)
+    ranked = best.select("id", F.posexplode(F.arrays_zip("near", "score")).alias("at", "x"))
+    return ranked.select("id", F.col("x.near").alias("neighbour"), F.col("x.score").alias("cosine"), (F.col("at") + 1).alias("rank")).where("id <> neighbour")

@@ -34,8 +34,7 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of series of cosine 0.80 or more of which one is among the ten most similar of the other."""
     series = table(spark, sf_dir, "series")
-    near = settle(most_similar(series, "id", "embedding").where(F.col("cosine") >= 0.80 - HALF_ERROR), "near")
-    near = verified(near, series, "id", "embedding", 0.80)
+    near = verified(most_similar(series, "id", "embedding", least=0.80 - HALF_ERROR), series, "id", "embedding", 0.80)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 

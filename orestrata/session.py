@@ -7,10 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH_CONF = "spark.checkpoint.dir"
+_DROP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "orestrata", cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -67,6 +70,28 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(settled: DataFrame) -> None:
+    """Delete what ``settle`` wrote; nothing may read it any more."""
+    jvm = settled.sparkSession._jvm
+    for folder in {os.path.dirname(f) for f in settled.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(settled.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query are dropped as soon as it ends, not when the driver collects its garbage."""
+    before = spark.conf.get(_DROP_CONF, None)
+    spark.conf.set(_DROP_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_CONF)
+        else:
+            spark.conf.set(_DROP_CONF, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
