@@ -6,9 +6,9 @@ at each kind of delimiter is, and how frequent each value is, is learned from
 the whole column by expectation-maximisation; the Viterbi path through the
 lattice is the split.
 
-Values and words are counted exactly, where the rows are; only sums travel.  Of
-the counts the model holds the most frequent up to a stated number of entries,
-so what is broadcast is bounded however large the column is.
+Values and words are counted exactly, where the rows are; only sums travel.  The
+counts stay a table: fields in doubt are read in groups, and each group is given
+the counts its fields ask for, all of them, however large the column is.
 """
 
 from __future__ import annotations
@@ -17,19 +17,16 @@ import math
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
-from orestrata.operators.frequent import most_frequent
 from orestrata.session import settle, spread
 
-#: Values seen more than once and words that the model of a field holds, at most.
-MOST_VALUES = 1 << 20
-MOST_WORDS = 1 << 20
+#: Distinct fields in doubt of a group, about; it is read with the counts that it asks for.
+GROUP_FIELDS = 512
 
 #: Parts between doubtful delimiters up to which every value of a stretch is looked up; in a longer
 #: stretch, values of more than NEAR_PARTS parts are scored by their words, but for the whole stretch.
@@ -57,8 +54,9 @@ _RIGHT_QUOTED = re.compile(r"^([^\"“„'‘«:=]*[:=]\s*)([\"“„'‘«].*)$
 #: Two words with the space before and after each, so that a sign after the first one is seen.
 _UP_TO_SPACE = re.compile(r"\s*[\"'“”„]*\s*\S+\s*\S*\s*")
 _ESCAPED = re.compile(r"\\([^\w\s])")
-#: What the JVM uses to find the rows that later EM rounds read again.
-DOUBTFUL_PATTERN = r"\s(?:/|\+|&|and|AND)\s"
+#: What the JVM uses to find the fields with a delimiter in doubt; white space is what Python takes for it.
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+DOUBTFUL_PATTERN = rf"{_SPACE}(?:/|\+|&|and|AND){_SPACE}"
 
 
 def _quote_end(text: str, start: int) -> int:
@@ -431,45 +429,52 @@ _VALUE, _WORD, _CUT, _ALL = range(4)
 _COUNT_SCHEMA = "field int, tab int, entry long, n double"
 
 
-def _count(columns: list[str], models, begin: bool):
-    """The E step over Arrow batches (number of the field, text): sums per (field, what, entry).
+class Asked(SplitModel):
+    """A model that knows nothing and notes what it is asked for."""
 
-    Without models it only counts: words everywhere, values where the reading is
-    certain. With models it takes expectations over the doubtful rows' readings,
-    or, to begin with, judges each doubtful kind by what follows it.
-    """
+    def __post_init__(self) -> None:
+        super().__post_init__()
+        self.asked: dict[int, set[str]] = {_VALUE: set(), _WORD: set()}
 
-    def run(batches):
-        learned = models.value if models is not None else None
-        plain = SplitModel()
-        doubtful = re.compile(DOUBTFUL_PATTERN)
-        sums: dict[int, tuple[dict, dict, dict]] = {}
-        for batch in batches:
-            for f, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = sums.get(f)
-                if got is None:
-                    got = sums[f] = (defaultdict(float), defaultdict(float), {})
-                values, words, kinds = got
-                expected, cuts = (), {}
-                if begin:
-                    cuts = _openers(text, learned[columns[f]])
-                elif learned is not None:
-                    _, cuts, expected = segment(text, learned[columns[f]])
-                else:
-                    if not doubtful.search(text):
-                        _, cuts, expected = segment(text, plain)
-                    for w in _key(text).split(" "):
-                        words[w] += 1.0
-                for value, p in expected:
-                    key = _key(value)
-                    if key:
-                        values[key] += p
-                        words[_OPENING + key.split(" ", 1)[0]] += p
-                for kind, (cut, all_) in cuts.items():
-                    k = kinds.setdefault(kind, [0.0, 0.0])
-                    k[0] += cut
-                    k[1] += all_
-        for f, (values, words, kinds) in sums.items():
+    def word_count(self, word: str) -> float:
+        self.asked[_WORD].add(word)
+        return 0.0
+
+    def log_value(self, key: str) -> float:
+        self.asked[_VALUE].add(key)
+        return super().log_value(key)
+
+    def read(self, text: str) -> None:
+        """Ask for all that any reading of this field may ask for."""
+        _openers(text, self)
+        segment(text, self)
+        cuts = cut_points(text)
+        doubt = [c for c in cuts if c[2] in _DOUBTFUL]
+        if doubt:
+            # Whether this lattice is read too depends on what the model knows.
+            _lattice(text, [c for c in cuts if c[2] not in _DOUBTFUL and c[2] != "comma"], doubt, self)
+
+
+class _Sums:
+    """Counts by field that grow with every reading."""
+
+    def __init__(self) -> None:
+        self.of: dict[int, tuple[dict, dict, dict]] = defaultdict(lambda: (defaultdict(float), defaultdict(float), {}))
+
+    def add(self, f: int, expected, cuts: dict, times: float = 1.0) -> None:
+        values, words, kinds = self.of[f]
+        for value, p in expected:
+            key = _key(value)
+            if key:
+                values[key] += p * times
+                words[_OPENING + key.split(" ", 1)[0]] += p * times
+        for kind, (cut, all_) in cuts.items():
+            k = kinds.setdefault(kind, [0.0, 0.0])
+            k[0] += cut * times
+            k[1] += all_ * times
+
+    def batches(self):
+        for f, (values, words, kinds) in self.of.items():
             parts = [(_VALUE, [_hash(k) for k in values], list(values.values())), (_WORD, [_hash(k) for k in words], list(words.values()))]
             for i, tab in enumerate((_CUT, _ALL)):
                 parts.append((tab, [KINDS.index(k) for k in kinds], [kinds[k][i] for k in kinds]))
@@ -480,23 +485,51 @@ def _count(columns: list[str], models, begin: bool):
                         [pa.array([f] * size, pa.int32()), pa.array([tab] * size, pa.int32()), pa.array(entries[at:at + size], pa.int64()), pa.array(n[at:at + size], pa.float64())],
                         names=["field", "tab", "entry", "n"])
 
-    return run
-
 
-def _tall(df: DataFrame, columns: list[str]) -> DataFrame:
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).alias("text")) for i, c in enumerate(columns)]))
-    return df.select(pairs.alias("x")).select("x.field", "x.text").where(F.col("text").isNotNull())
+def _count(batches):
+    """Sums per (field, what, entry) over Arrow batches (number of the field, text): words everywhere, values where the reading is certain."""
+    plain, doubtful, sums = SplitModel(), re.compile(DOUBTFUL_PATTERN), _Sums()
+    for batch in batches:
+        for f, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not doubtful.search(text):
+                sums.add(f, segment(text, plain)[2], {})
+            words = sums.of[f][1]
+            for w in _key(text).split(" "):
+                words[w] += 1.0
+    yield from sums.batches()
 
 
-def _counted(tall: DataFrame, columns: list[str], models) -> DataFrame:
-    return tall.mapInArrow(_count(columns, models, False), _COUNT_SCHEMA).groupBy("field", "tab", "entry").agg(F.sum("n").alias("n"))
+@dataclass
+class Totals:
+    """What the models of all fields need besides counts: of each (field, what) the total, the distinct and the single entries; of each field how often each kind cuts."""
+
+    of: dict[tuple[int, int], tuple[float, float, float]]
+    cut: dict[int, dict[str, float]]
+
+    def models(self, counts: pa.Table) -> dict[int, SplitModel]:
+        """Models of the fields that know these counts."""
+        fields, tabs, keys, n = (np.asarray(counts.column(c)) for c in ("field", "tab", "entry", "n"))
+        models = {}
+        for f, cut in self.cut.items():
+            held = []
+            for tab in (_VALUE, _WORD):
+                mine = np.flatnonzero((fields == f) & (tabs == tab))
+                order = mine[np.argsort(keys[mine])]
+                held.append(Counts(keys[order], n[order].astype(np.float32), *self.of[f, tab]))
+            models[f] = SplitModel(held[0], held[1], cut)
+        return models
+
+
+def _tall(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).alias("text")) for i, c in enumerate(columns)]))
+    return df.select(*keep, pairs.alias("x")).select(*keep, "x.field", "x.text").where(F.col("text").isNotNull())
 
 
-def _model(counts: DataFrame, columns: list[str]) -> tuple[dict[str, SplitModel], DataFrame]:
-    """The M step: models from counts, and the counts as they were written on the way.
+def _model(counts: DataFrame, columns: list[str]) -> tuple[Totals, DataFrame]:
+    """The M step: totals of the counts, and the counts as they were written on the way.
 
-    What all entries come to is observed while they are written. At most
-    MOST_VALUES + MOST_WORDS entries a field reach the driver.
+    What all entries come to is observed while they are written; only that and
+    a row for each kind of delimiter reach the driver.
     """
     seen = Observation()
     pairs = [(f, tab) for f in range(len(columns)) for tab in (_VALUE, _WORD)]
@@ -505,49 +538,85 @@ def _model(counts: DataFrame, columns: list[str]) -> tuple[dict[str, SplitModel]
         own = (F.col("field") == f) & (F.col("tab") == tab)
         metrics += [F.sum(F.when(own, F.col("n")).otherwise(0.0)).alias(f"t{f}_{tab}"), F.count_if(own).alias(f"k{f}_{tab}"), F.count_if(own & (F.col("n") < 1.5)).alias(f"s{f}_{tab}")]
     stored = settle(counts.observe(seen, *metrics), "counts")
-    totals = {p: tuple(seen.get.get(f"{m}{p[0]}_{p[1]}") or 0 for m in "tks") for p in pairs}
-    # A value seen once counts as new, so only those seen more often are held.
-    wanted = F.col("tab") >= _CUT
-    crowded = []
-    for (f, tab), (_, kinds, single) in totals.items():
-        own = (F.col("field") == f) & (F.col("tab") == tab) & (F.col("n") > (1.0 if tab == _VALUE else 0.0))
-        most = MOST_VALUES if tab == _VALUE else MOST_WORDS
-        if kinds - (single if tab == _VALUE else 0) > most:
-            crowded.append(most_frequent(stored.where(own), F.col("n"), most))
-        else:
-            wanted = wanted | own
-    got = reduce(DataFrame.unionByName, crowded, stored.where(wanted)).toArrow()
-    fields, tabs, keys, n = (np.asarray(got.column(c)) for c in ("field", "tab", "entry", "n"))
-    models = {}
-    for f, c in enumerate(columns):
-        held = []
-        for tab in (_VALUE, _WORD):
-            mine = np.flatnonzero((fields == f) & (tabs == tab))
-            order = mine[np.argsort(keys[mine])]
-            held.append(Counts(keys[order], n[order].astype(np.float32), *map(float, totals[f, tab])))
-        cut = SplitModel().cut
-        rows = {(int(k), int(t)): float(x) for k, t, x in zip(keys[fields == f], tabs[fields == f], n[fields == f]) if t >= _CUT}
+    totals = {p: tuple(float(seen.get.get(f"{m}{p[0]}_{p[1]}") or 0) for m in "tks") for p in pairs}
+    rows = {(r.field, r.entry, r.tab): r.n for r in stored.where(F.col("tab") >= _CUT).collect()}
+    cuts = {}
+    for f in range(len(columns)):
+        cut = cuts[f] = SplitModel().cut
         for i, k in enumerate(KINDS):
-            if k in _DOUBTFUL and rows.get((i, _ALL), 0.0) > 0:
-                cut[k] = float(np.clip((rows.get((i, _CUT), 0.0) + 0.01) / (rows[i, _ALL] + 0.02), 1e-5, 1 - 1e-5))
-        models[c] = SplitModel(held[0], held[1], cut)
-    return models, stored
+            all_ = rows.get((f, i, _ALL), 0.0)
+            if k in _DOUBTFUL and all_ > 0:
+                cut[k] = float(np.clip((rows.get((f, i, _CUT), 0.0) + 0.01) / (all_ + 0.02), 1e-5, 1 - 1e-5))
+    return Totals(totals, cuts), stored
+
+
+class Doubtful:
+    """The distinct fields that hold a delimiter in doubt, in groups, and what each group asks for."""
+
+    def __init__(self, tall: DataFrame) -> None:
+        found = tall.where(F.col("text").rlike(DOUBTFUL_PATTERN)).groupBy("field", "text").agg(F.count("*").alias("times"))
+        found = settle(found, "doubtful")
+        spark = tall.sparkSession
+        groups = max(1, -(-found.count() // GROUP_FIELDS))
+        # A stated number, or tables that are small in bytes would be read by one task.
+        self.parts = min(groups, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        self.fields = found.withColumn("grp", F.pmod(F.xxhash64("field", "text"), F.lit(groups)))
+
+        def ask(table: pa.Table) -> pa.Table:
+            asked: dict[int, Asked] = defaultdict(Asked)
+            for f, text in zip(table.column("field").to_pylist(), table.column("text").to_pylist()):
+                asked[f].read(text)
+            flat = [(f, tab, _hash(x)) for f, model in asked.items() for tab, entries in model.asked.items() for x in entries]
+            columns = np.array(flat, dtype=np.int64).reshape(-1, 3)
+            grp = pa.array(np.full(len(flat), table.column("grp")[0].as_py()), pa.int64())
+            return pa.table([grp, pa.array(columns[:, 0].astype(np.int32)), pa.array(columns[:, 1].astype(np.int32)), pa.array(columns[:, 2])], names=["grp", "field", "tab", "entry"])
+
+        self.asked = settle(self.fields.repartition(self.parts, "grp").groupBy("grp").applyInArrow(ask, "grp long, field int, tab int, entry long"), "asked")
+
+    def read(self, totals: Totals, counts: DataFrame, what, schema: str) -> DataFrame:
+        """``what(fields, models)`` of every group: a table from its (field, text, times) and the models that know what they ask for."""
+        # A value seen once counts as new.
+        known = self.asked.join(counts.where((F.col("tab") == _WORD) | ((F.col("tab") == _VALUE) & (F.col("n") > 1.0))), ["field", "tab", "entry"])
+        known = known.select("grp", "field", "tab", "entry", "n").repartition(self.parts, "grp")
+        shared = self.fields.sparkSession.sparkContext.broadcast(totals)
+
+        def run(fields: pa.Table, known: pa.Table) -> pa.Table:
+            return what(fields, shared.value.models(known))
+
+        return self.fields.repartition(self.parts, "grp").groupBy("grp").cogroup(known.groupBy("grp")).applyInArrow(run, schema)
+
+
+def _expect(begin: bool):
+    """The E step over fields in doubt: expectations over their readings or, to begin with, judgements of each doubtful kind by what follows it."""
+
+    def run(fields: pa.Table, models: dict[int, SplitModel]) -> pa.Table:
+        sums = _Sums()
+        for f, text, times in zip(*(fields.column(c).to_pylist() for c in ("field", "text", "times"))):
+            if begin:
+                sums.add(f, (), _openers(text, models[f]), times)
+            else:
+                _, cuts, expected = segment(text, models[f])
+                sums.add(f, expected, cuts, times)
+        empty = pa.schema([("field", pa.int32()), ("tab", pa.int32()), ("entry", pa.int64()), ("n", pa.float64())])
+        return pa.Table.from_batches(list(sums.batches()), empty)
+
+    return run
 
 
-def learn_splits(df: DataFrame, columns: list[str], rounds: int = 2) -> dict[str, SplitModel]:
-    """EM over whole columns: one pass over all rows, then one to begin and ``rounds`` more over the rows that hold a doubtful delimiter.
+def learn_splits(source: DataFrame, columns: list[str], rounds: int = 2) -> tuple[Doubtful, Totals, DataFrame]:
+    """EM over whole columns: one pass over all rows, then one to begin and ``rounds`` more over the fields that hold a doubtful delimiter.
 
-    The other rows have one path each, so their counts of the first pass stand.
+    The other fields have one reading each, so their counts of the first pass stand.
     """
-    spark = df.sparkSession
-    tall = _tall(df, columns)
+    tall = _tall(source, columns)
+    summed = [F.sum("n").alias("n")]
     # Whether the signs in doubt cut is for the later passes to say.
-    models, fixed = _model(_counted(tall, columns, None).where(F.col("tab") < _CUT), columns)
-    doubtful = tall.where(F.col("text").rlike(DOUBTFUL_PATTERN))
+    totals, fixed = _model(tall.mapInArrow(_count, _COUNT_SCHEMA).groupBy("field", "tab", "entry").agg(*summed), columns)
+    doubtful, counts = Doubtful(tall), fixed
     for step in range(rounds + 1):
-        found = doubtful.mapInArrow(_count(columns, spark.sparkContext.broadcast(models), step == 0), _COUNT_SCHEMA)
-        models, _ = _model(fixed.unionByName(found).groupBy("field", "tab", "entry").agg(F.sum("n").alias("n")), columns)
-    return models
+        found = doubtful.read(totals, counts, _expect(step == 0), _COUNT_SCHEMA)
+        totals, counts = _model(fixed.unionByName(found).groupBy("field", "tab", "entry").agg(*summed), columns)
+    return doubtful, totals, counts
 
 
 def split_packed(df: DataFrame, key: str, columns: list[str], tagged: list[str] = (), rounds: int = 2) -> DataFrame:
@@ -559,34 +628,41 @@ def split_packed(df: DataFrame, key: str, columns: list[str], tagged: list[str]
     unclosed quotation mark is an ordinary character; a repeated key gives the
     rows of each of its records.  Other columns of ``df`` are not read.
     """
-    spark = df.sparkSession
     source = spread(df.select(F.col(key).alias("__key"), *[F.col(c).cast("string").alias(c) for c in columns]))
-    models = spark.sparkContext.broadcast(learn_splits(source, columns, rounds))
+    doubtful, totals, counts = learn_splits(source, columns, rounds)
     key_type = df.schema[key].dataType
     tag = frozenset(tagged)
 
+    def values(text: str, model: SplitModel, column: str) -> list[str]:
+        return [v for v in (clean_value(raw, column in tag) for raw in segment(text, model)[0]) if v]
+
     def run(batches):
-        learned = models.value
+        plain, doubt = SplitModel(), re.compile(DOUBTFUL_PATTERN)
         for batch in batches:
             ids = batch.column(0)
             at, names, poss, vals = [], [], [], []
             for f, c in enumerate(columns, 1):
-                model, tagged_field = learned[c], c in tag
                 for row, text in enumerate(batch.column(f).to_pylist()):
-                    if not text:
+                    if not text or doubt.search(text):
                         continue
-                    pos = 0
-                    for raw in segment(text, model)[0]:
-                        v = clean_value(raw, tagged_field)
-                        if v:
-                            pos += 1
-                            at.append(row)
-                            names.append(c)
-                            poss.append(pos)
-                            vals.append(v)
+                    for pos, v in enumerate(values(text, plain, c), 1):
+                        at.append(row)
+                        names.append(c)
+                        poss.append(pos)
+                        vals.append(v)
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(poss, pa.int32()), pa.array(vals, pa.string())],
                 names=["__key", "field", "pos", "val"])
 
+    def read(fields: pa.Table, models: dict[int, SplitModel]) -> pa.Table:
+        rows = list(zip(fields.column("field").to_pylist(), fields.column("text").to_pylist()))
+        return fields.select(["field", "text"]).append_column("vals", pa.array([values(text, models[f], columns[f]) for f, text in rows], pa.list_(pa.string())))
+
     schema = T.StructType([T.StructField("__key", key_type), T.StructField("field", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("val", T.StringType())])
-    return source.mapInArrow(run, schema).withColumnRenamed("__key", key)
+    certain = source.mapInArrow(run, schema)
+    # Fields in doubt were read once each; what was read goes to all rows that hold it.
+    readings = doubtful.read(totals, counts, read, "field int, text string, vals array<string>")
+    rows = _tall(source, columns, "__key").where(F.col("text").rlike(DOUBTFUL_PATTERN)).join(readings, ["field", "text"])
+    name = F.element_at(F.array(*map(F.lit, columns)), F.col("field") + 1).alias("field")
+    of_doubt = rows.select("__key", name, F.posexplode("vals").alias("pos", "val")).withColumn("pos", F.col("pos") + 1)
+    return certain.unionByName(of_doubt).withColumnRenamed("__key", key)
