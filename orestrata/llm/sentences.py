@@ -13,9 +13,9 @@
    punctuation, or after a token that never closes a paragraph.
 
 The token statistics are exact counts over all documents, added up where the
-documents are. The model holds those of all tokens, or of the ``MOST_TOKENS``
-most frequent where there are more; rarer ones have the corpus's rate, as new
-ones do.
+documents are. The counts stay a table: documents are read in groups, and each
+group is given the counts of its tokens, all of them, however many the corpus
+has.
 """
 
 from __future__ import annotations
@@ -28,16 +28,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from orestrata.operators.frequent import most_frequent
 from orestrata.session import settle, spread
 
 #: Documents the classifier is trained on, at most.
 TRAINING_DOCUMENTS = 4000
-#: Tokens whose counts the model holds, at most.
-MOST_TOKENS = 1 << 21
+#: Characters of a group of texts, about; it is read with the counts of its tokens.
+GROUP_CHARS = 1 << 23
 LEXICAL_SLOTS = 1 << 13
 
 # Marks that may end a sentence. The semicolon does in Greek only.
@@ -395,6 +396,16 @@ class Statistics:
         counts = np.array([[c.get(int(k), 0) for c in counters] for k in keys], dtype=np.float32).reshape(-1, 4)
         return cls(keys, counts, counts.sum(axis=0, dtype=np.float64))
 
+    @classmethod
+    def held(cls, parts: list, sums: np.ndarray) -> "Statistics":
+        """From Arrow tables or batches with the counts of some tokens, and the sums over all."""
+        keys = np.concatenate([np.zeros(0, dtype=np.int64), *(np.asarray(p.column("token")) for p in parts)])
+        counts = np.zeros((len(keys), len(TABLES)), dtype=np.float32)
+        for i, t in enumerate(TABLES if parts else ()):
+            counts[:, i] = np.concatenate([np.asarray(p.column(t)) for p in parts])
+        order = np.argsort(keys)
+        return cls(keys[order], counts[order], sums)
+
     def rate(self, token: str, side: int) -> tuple[float, float]:
         """Log of the smoothed rate against the corpus's, and the count behind it."""
         got = self._memo.get((token, side))
@@ -433,7 +444,7 @@ def _final(text: str, lo: int, hi: int) -> tuple[str, str] | None:
 
 
 def count_tokens(texts) -> list[Counter]:
-    """The four counters over some texts, by hash of the token."""
+    """The four counters over some texts, by hash of the token; a token that the classifier may only ask for counts 0."""
     opens, after, closes, before = tables = [Counter() for _ in TABLES]
     for text in texts:
         if not text or text.isspace():
@@ -445,13 +456,12 @@ def count_tokens(texts) -> list[Counter]:
             opens[first] += 1
             after[first] += 1
             last = _final(text, lo, hi)
-            if last and last[1][0] not in "!?！？":
-                closes[last[0]] += 1
-                before[last[0]] += 1
+            if last:
+                closes[last[0]] += last[1][0] not in "!?！？"
+                before[last[0]] += last[1][0] not in "!?！？"
             for c in found:
                 after[c.after] += 1
-                if text[c.mark] not in "!?！？":
-                    before[c.before] += 1
+                before[c.before] += text[c.mark] not in "!?！？"
     out = []
     for table in tables:
         hashed: Counter = Counter()
@@ -570,6 +580,12 @@ class Model:
             return z > 0.0
         return z + score(("e", earlier_of(text, c), c.before.isdigit())) >= 0.0
 
+    def knowing(self, parts: list) -> "Model":
+        """The same classifier with the counts of other tokens; scores that don't depend on them stay remembered."""
+        other = Model(self.dense, self.lexical, Statistics.held(parts, self.stats.sums))
+        other._scores = {k: v for k, v in self._scores.items() if k[0] in "em"}
+        return other
+
     def __getstate__(self):
         return {**self.__dict__, "_scores": {}}
 
@@ -664,37 +680,77 @@ def segment(text: str, model: Model) -> list[tuple[int, int]]:
 
 # --- the operator ------------------------------------------------------------------------------------------------------
 
-def _count_batches(batches):
-    tables = [Counter() for _ in TABLES]
-    for batch in batches:
-        for table, counted in zip(tables, count_tokens(batch.column(0).to_pylist())):
-            table.update(counted)
-    keys = np.array(sorted(set().union(*tables)), dtype=np.int64)
-    for at in range(0, len(keys), 1 << 16):
-        part = keys[at:at + (1 << 16)]
-        columns = [pa.array([t[int(k)] for k in part], pa.int64()) for t in tables]
-        yield pa.RecordBatch.from_arrays([pa.array(part), *columns], names=["token", *TABLES])
-
-
-def learn(df: DataFrame, text_column: str) -> Model:
-    """Statistics over all texts (at most MOST_TOKENS rows reach the driver), and the classifier from a bounded sample, the same in every run."""
-    texts = df.select(F.col(text_column).alias("text")).where(F.length("text") > 0)
-    schema = "token long, " + ", ".join(f"{t} long" for t in TABLES)
-    summed = settle(texts.mapInArrow(_count_batches, schema).groupBy("token").agg(*[F.sum(t).alias(t) for t in TABLES]), "tokens")
-    row = summed.agg(*[F.sum(t).alias(t) for t in TABLES]).first()
+def _runs(*columns: np.ndarray):
+    """(first, end) of the stretches of rows that agree in these columns."""
+    breaks = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+    edges = [0, *breaks.tolist(), len(columns[0])]
+    return zip(edges, edges[1:]) if edges[-1] else ()
+
+
+def _in_groups(base: DataFrame) -> DataFrame:
+    """All texts with their group (part, block), and of every group a row for each of its tokens with the counts within it.
+
+    A group is what a task reads one after the other, so nothing is moved, and
+    it is written, so that later passes see the same groups.
+    """
+    schema = T.StructType([
+        T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("id", base.schema["id"].dataType), T.StructField("text", T.StringType()),
+        T.StructField("token", T.LongType()), *[T.StructField(t, T.LongType()) for t in TABLES]])
+    most = GROUP_CHARS
+
+    def run(batches):
+        part, block, total, tables = TaskContext.get().partitionId(), 0, 0, [Counter() for _ in TABLES]
+
+        def row_batch(n, ids, texts, tokens, columns):
+            place = [pa.array(np.full(n, x, dtype=np.int32)) for x in (part, block)]
+            return pa.RecordBatch.from_arrays([*place, ids, texts, tokens, *columns], names=schema.names)
+
+        def counted(kinds):
+            keys = np.array(sorted(set().union(*tables)), dtype=np.int64)
+            for at in range(0, len(keys), 1 << 16):
+                own = keys[at:at + (1 << 16)]
+                columns = [pa.array([t[int(k)] for k in own], pa.int64()) for t in tables]
+                yield row_batch(len(own), *(pa.nulls(len(own), k) for k in kinds), pa.array(own), columns)
+
+        kinds = None
+        for batch in batches:
+            kinds = [c.type for c in batch.columns]
+            ends = total + np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            blocks = ends // most
+            for lo, hi in _runs(blocks):
+                if blocks[lo] != block:
+                    yield from counted(kinds)
+                    block, tables = int(blocks[lo]), [Counter() for _ in TABLES]
+                ids, texts = (c.slice(lo, hi - lo) for c in batch.columns)
+                for table, found in zip(tables, count_tokens(texts.to_pylist())):
+                    table.update(found)
+                none = pa.nulls(hi - lo, pa.int64())
+                yield row_batch(hi - lo, ids, texts, none, [none] * len(TABLES))
+            total = int(ends[-1]) if len(ends) else total
+        if kinds:
+            yield from counted(kinds)
+
+    return settle(base.mapInArrow(run, schema), "groups")
+
+
+def learn(grouped: DataFrame) -> tuple[Model, DataFrame]:
+    """The classifier from a bounded sample, the same in every run, and the counts of every token, which stay a table.
+
+    Of the counts only the sums and those of the sample's tokens reach the driver.
+    """
+    counts = settle(grouped.where("token is not null").groupBy("token").agg(*[F.sum(t).alias(t) for t in TABLES]), "tokens")
+    row = counts.agg(*[F.sum(t).alias(t) for t in TABLES]).first()
     sums = np.array([row[t] or 0 for t in TABLES], dtype=np.float64)
-    seen = F.col("seen_after") + F.col("seen_before")
-    kept = most_frequent(summed, seen, MOST_TOKENS).toArrow()
-    keys = np.asarray(kept.column("token"))
-    order = np.argsort(keys)
-    counts = np.stack([np.asarray(kept.column(t), dtype=np.float32) for t in TABLES], axis=1) if len(keys) else np.zeros((0, 4), dtype=np.float32)
-    stats = Statistics(keys[order], counts[order], sums)
+    texts = grouped.where("text is not null").select("text")
     n = texts.count()
     # Twice what is needed by hash, of which the first by hash are taken. Texts above 20,000 characters are left to the other documents.
     every = max(1, n // (2 * TRAINING_DOCUMENTS))
     hashed = texts.withColumn("h", F.xxhash64("text")).where((F.pmod("h", F.lit(every)) == 0) & (F.length("text") <= 20_000))
     picked = hashed.orderBy("h", "text").limit(TRAINING_DOCUMENTS)
-    return train(sorted(picked.select("text").toArrow().column(0).to_pylist()), stats)
+    sample = sorted(picked.select("text").toArrow().column(0).to_pylist())
+    tokens = pa.array(sorted(set().union(*count_tokens(sample))), pa.int64())
+    held = counts.join(grouped.sparkSession.createDataFrame(pa.table([tokens], names=["token"])), "token")
+    return train(sample, Statistics.held([held.toArrow()], sums)), counts
 
 
 def split_sentences(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -705,19 +761,40 @@ def split_sentences(df: DataFrame, id_column: str, text_column: str) -> DataFram
     columns are not read.
     """
     base = spread(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.length("text") > 0))
-    model = df.sparkSession.sparkContext.broadcast(learn(base, "text"))
+    spark = df.sparkSession
+    grouped = _in_groups(base)
+    trained, counts = learn(grouped)
+    model = spark.sparkContext.broadcast(trained)
+    texts = grouped.where("text is not null")
+    known = grouped.where("token is not null").select("part", "block", "id", "text", "token").join(counts, "token")
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // (8 * GROUP_CHARS)))
+    place = F.pmod(F.col("part") + F.col("block") * F.lit(7919), F.lit(parts)).cast("int")
+    # In every partition one group after the other, its counts before its texts.
+    rows = texts.unionByName(known).repartitionById(parts, place).sortWithinPartitions("part", "block", F.col("text").isNotNull())
 
     def run(batches):
-        known = model.value
+        known, group, counted, ready = model.value, None, [], False
         for batch in batches:
-            at, starts, ends = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for a, b in segment(text, known):
-                    at.append(i)
-                    starts.append(a)
-                    ends.append(b)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["id", "start_pos", "end_pos"])
+            part, block = (np.asarray(batch.column(c)) for c in ("part", "block"))
+            is_text = np.asarray(batch.column("text").is_valid())
+            for lo, hi in _runs(part, block, is_text):
+                if (part[lo], block[lo]) != group:
+                    group, counted, ready = (part[lo], block[lo]), [], False
+                own = batch.slice(lo, hi - lo)
+                if not is_text[lo]:
+                    counted.append(own)
+                    continue
+                if not ready:
+                    known, counted, ready = known.knowing(counted), [], True
+                at, starts, ends = [], [], []
+                for i, text in enumerate(own.column("text").to_pylist()):
+                    for a, b in segment(text, known):
+                        at.append(i)
+                        starts.append(a)
+                        ends.append(b)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("id").take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["id", "start_pos", "end_pos"])
 
     schema = T.StructType([T.StructField("id", base.schema["id"].dataType), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
-    return base.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
